@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans.catalog import corpus
+from corpusmill.plans.catalog import corpus, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (corpus,)
+MODULES = (corpus, retrieval)
 
 
 def queries() -> dict[str, Query]:
