@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans.catalog import corpus, retrieval
+from corpusmill.plans.catalog import corpus, requests, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (corpus, retrieval)
+MODULES = (corpus, retrieval, requests)
 
 
 def queries() -> dict[str, Query]:
