@@ -312,7 +312,7 @@ def agent_log_rows(records: DataFrame) -> DataFrame:
         F.coalesce(called["fallback_used"], F.lit(False)).alias("fallback_used"),
         run["stop_reason"].alias("routing_reason"),
         "request.question",
-        F.coalesce(run["final_output.answer"], F.lit("")).alias("answer"),
+        F.coalesce(run["final_output"]["answer"], F.lit("")).alias("answer"),
         run_latency_ms(run["created_at"], run["completed_at"]).alias("latency_ms"),
         *[_count(called[n]).alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")],
         F.coalesce(

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans.catalog import corpus, requests, retrieval
+from corpusmill.plans.catalog import corpus, evaluation, logs, requests, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (corpus, retrieval, requests)
+MODULES = (corpus, retrieval, requests, evaluation, logs)
 
 
 def queries() -> dict[str, Query]:

@@ -47,3 +47,14 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
 def fits_broadcast(frame: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when the frame holds at most ``max_rows`` rows; reads no further than that bound."""
     return frame.limit(max_rows + 1).count() <= max_rows
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to the shared scratch folder and read back.
+
+    For small results that later steps read many times: their plan then starts at files, and an executor
+    loss does not repeat the work behind them.
+    """
+    path = scratch_folder(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
