@@ -42,17 +42,23 @@ def term_counts(found: Column) -> Column:
     return F.when(F.size(found) > 0, bind(F.array_sort(found), runs)).otherwise(none)
 
 
+CHUNK_COLUMNS = ("chunk_id", "task", "article_number", "clause_number")
+
+
+def analyzed(chunks: DataFrame) -> DataFrame:
+    """One row per chunk with its tokens, for searches that read the whole corpus once."""
+    return with_filter_columns(chunks).select(*CHUNK_COLUMNS, tokens(F.col("content")).alias("tokens"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """One row per chunk and term: chunk_id, task, chunk_index, article and clause, dl, term, tf.
+    """One row per chunk and term: chunk_id, task, article and clause, dl, term, tf.
 
-    ``dl`` is the number of tokens of the chunk.
+    ``dl`` is the number of tokens of the chunk. This is the form that is stored by term.
     """
-    kept = ["chunk_id", "task", "article_number", "clause_number"]
-    analyzed = with_filter_columns(chunks).select(*kept, tokens(F.col("content")).alias("_tokens"))
-    counted = analyzed.select(
-        *kept, F.size("_tokens").alias("dl"), term_counts(F.col("_tokens")).alias("_terms")
+    counted = analyzed(chunks).select(
+        *CHUNK_COLUMNS, F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("_terms")
     )
-    return counted.select(*kept, "dl", F.inline("_terms"))
+    return counted.select(*CHUNK_COLUMNS, "dl", F.inline("_terms"))
 
 
 def with_filter_columns(chunks: DataFrame) -> DataFrame:

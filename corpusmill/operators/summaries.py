@@ -27,6 +27,21 @@ MEANS = (
 RATES = (("fallback_rate", "fallback_used", 1), ("abstention_rate", "guardrail_abstained", 1))
 
 
+#: Decimals the headline figures are shown with.
+HEADLINE_DIGITS = {
+    "avg_latency_ms": 1, "avg_retrieval_ms": 1, "avg_generation_ms": 1, "avg_groundedness": 2,
+    "avg_relevance": 2, "fallback_rate": 1, "abstention_rate": 1, "avg_cost_usd": 6,
+}
+
+
+def shown_headline(rows: DataFrame) -> DataFrame:
+    """The headline rounded as it is shown."""
+    return headline(rows).select(
+        "requests",
+        *[(F.rint(F.col(n) * 10.0**d) / 10.0**d).alias(n) for n, d in HEADLINE_DIGITS.items()],
+    )
+
+
 def headline(rows: DataFrame) -> DataFrame:
     """One row of overall figures; a missing flag counts as false, no rows give zeros."""
     def share(flag: str) -> Column:

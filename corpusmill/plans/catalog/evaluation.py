@@ -10,7 +10,7 @@ from corpusmill.functions.benchmark_text import (
 )
 from corpusmill.operators.benchmark import build_dataset, heuristic_content, merge_replies
 from corpusmill.operators.dense import dense_topk
-from corpusmill.operators.lexical_index import postings, term_statistics, vocabulary
+from corpusmill.operators.lexical_index import analyzed, term_statistics, vocabulary
 from corpusmill.operators.lexical_search import bm25_topk, fts_topk
 from corpusmill.operators.metrics import mean_metrics, metric_names, sample_metrics, worst_samples
 from corpusmill.operators.pooling import expand_labels, pool_candidates
@@ -311,7 +311,7 @@ def _pool(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     corpus = embedded_chunks(spark, folder)
     plain = chunks(spark, folder)
     asked = lexical_queries(inputs.questions(spark, folder))
-    posted = postings(plain)
+    posted = analyzed(plain)
     statistics = term_statistics(plain, asked.select(F.explode("terms").alias("term")))
     dense = dense_topk(embedded_questions(spark, folder), corpus, POOL_K)
     text = fts_topk(asked, posted, POOL_K, stemming=False, vocabulary=vocabulary(plain))

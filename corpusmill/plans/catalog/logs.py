@@ -18,7 +18,9 @@ from corpusmill.operators.runlog import (
     LISTED_COLUMNS, agent_evaluation_rows, agent_log_rows, filter_options, filter_rows,
     run_log, run_rows_from_log, run_rows_from_tables,
 )
-from corpusmill.operators.summaries import DIMENSIONS, MEANS, RATES, all_group_summaries, group_summary, headline
+from corpusmill.operators.summaries import (
+    DIMENSIONS, HEADLINE_DIGITS, MEANS, RATES, all_group_summaries, group_summary, shown_headline,
+)
 from corpusmill.plans.catalog import inputs
 from corpusmill.plans.catalog.inputs import DOCUMENTS_SQL, cut_sql
 from corpusmill.plans.catalog.requests import EVIDENCE_SQL, exchanges, EXCHANGES_SQL, earlier_turns, scope_sql
@@ -220,20 +222,23 @@ AGENT_LOOKUP = f"""WITH {TABLE_ROWS_SQL} SELECT agent_run_id, agent_status, ques
 WHERE agent_run_id = (SELECT arg_max(agent_run_id, "timestamp") FROM run_rows WHERE request_kind = 'agent_run')"""
 
 
-def kpi_headline(spark: SparkSession, folder: str) -> DataFrame:
-    figures = headline(rows_from_tables(spark, folder))
-    return figures.select("requests", *[F.round(c, 6).alias(c) for c in figures.columns if c != "requests"])
+def _rounded_mean_sql(value: str, digits: int) -> str:
+    return f"round_even({value} * 1e{digits}::DOUBLE, 0) / 1e{digits}::DOUBLE"
 
 
-KPI_HEADLINE = f"""WITH {TABLE_ROWS_SQL}
-SELECT count(*) AS requests, round(avg(latency_ms), 6) AS avg_latency_ms, round(avg(retrieval_ms), 6) AS avg_retrieval_ms,
-  round(avg(generation_ms), 6) AS avg_generation_ms, round(avg(groundedness), 6) AS avg_groundedness, round(avg(answer_relevance), 6) AS avg_relevance,
-  round(avg(coalesce(fallback_used, false)::INT) * 100, 6) AS fallback_rate, round(avg(guardrail_abstained::INT) * 100, 6) AS abstention_rate,
-  round(avg(display_cost_usd), 6) AS avg_cost_usd FROM run_rows"""
+def kpi_headline(spark: SparkSession, folder: str) -> DataFrame:
+    return shown_headline(rows_from_tables(spark, folder))
 
 
-def _rounded_mean_sql(value: str, digits: int) -> str:
-    return f"round_even({value} * 1e{digits}::DOUBLE, 0) / 1e{digits}::DOUBLE"
+HEADLINE_SQL = {
+    "avg_latency_ms": "avg(latency_ms)", "avg_retrieval_ms": "avg(retrieval_ms)", "avg_generation_ms": "avg(generation_ms)",
+    "avg_groundedness": "avg(groundedness)", "avg_relevance": "avg(answer_relevance)",
+    "fallback_rate": "avg(coalesce(fallback_used, false)::INT) * 100", "abstention_rate": "avg(guardrail_abstained::INT) * 100",
+    "avg_cost_usd": "avg(display_cost_usd)",
+}
+KPI_HEADLINE = f"WITH {TABLE_ROWS_SQL} SELECT count(*) AS requests, " + ", ".join(
+    f"{_rounded_mean_sql(value, HEADLINE_DIGITS[name])} AS {name}" for name, value in HEADLINE_SQL.items()
+) + " FROM run_rows"
 
 
 SUMMARY_SQL = ", ".join(

@@ -9,7 +9,7 @@ from corpusmill.functions.embedding import hash_embedding
 from corpusmill.functions.lexical_query import general_query, legal_query
 from corpusmill.operators.corpus import plain_chunks
 from corpusmill.operators.dense import dense_topk
-from corpusmill.operators.lexical_index import postings, term_statistics, tokens, vocabulary
+from corpusmill.operators.lexical_index import analyzed, term_statistics, tokens, vocabulary
 from corpusmill.operators.lexical_search import bm25_topk, filter_only_topk, fts_topk
 from corpusmill.operators.rerank import rerank
 from corpusmill.operators.retrieve import RetrievalSettings, retrieve
@@ -172,7 +172,7 @@ def result(found: DataFrame) -> DataFrame:
 def bm25_query(spark: SparkSession, folder: str) -> DataFrame:
     corpus, asked = chunks(spark, folder), lexical_queries(inputs.questions(spark, folder))
     statistics = term_statistics(corpus, asked.select(F.explode("terms").alias("term")))
-    return result(bm25_topk(asked, postings(corpus), statistics, TOP_K))
+    return result(bm25_topk(asked, analyzed(corpus), statistics, TOP_K))
 
 
 BM25_TOPK = f"""WITH {CHUNKS_SQL},{QUESTIONS_SQL},{terms_sql("questions")},{postings_sql()},{BM25_SQL}
@@ -181,7 +181,7 @@ SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm25_ranked WHERE
 
 def _fts(spark: SparkSession, folder: str, stemming: bool) -> DataFrame:
     corpus, asked = chunks(spark, folder), lexical_queries(inputs.questions(spark, folder))
-    return result(fts_topk(asked, postings(corpus), TOP_K, stemming=stemming, vocabulary=vocabulary(corpus)))
+    return result(fts_topk(asked, analyzed(corpus), TOP_K, stemming=stemming, vocabulary=vocabulary(corpus)))
 
 
 def fts_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,7 +222,7 @@ def metadata_filter_query(spark: SparkSession, folder: str) -> DataFrame:
     corpus = legal_chunks_frame(spark, folder)
     asked = lexical_queries(_placed_questions(spark, folder, with_text=True))
     statistics = term_statistics(corpus, asked.select(F.explode("terms").alias("term")))
-    return result(bm25_topk(asked, postings(corpus), statistics, TOP_K))
+    return result(bm25_topk(asked, analyzed(corpus), statistics, TOP_K))
 
 
 METADATA_FILTER = f"""WITH {LEGAL_CHUNKS_SQL},{QUESTIONS_SQL},{PLACED_SQL},
@@ -409,7 +409,7 @@ def rerank_query(spark: SparkSession, folder: str) -> DataFrame:
     )
     queries = lexical_queries(asked)
     statistics = term_statistics(corpus, queries.select(F.explode("terms").alias("term")))
-    found = bm25_topk(queries, postings(corpus), statistics, 12)
+    found = bm25_topk(queries, analyzed(corpus), statistics, 12)
     with_text = found.join(corpus.select("chunk_id", "content"), "chunk_id")
     ranked = rerank(with_text, asked, overlap_score(F.col("question"), F.col("content")), keep=TOP_K)
     return ranked.select(
