@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import lines, words
+from corpusmill.functions.text import LINE_END
 
 # Short words that never count as fragments of a longer one.
 WHOLE_WORDS = (
@@ -14,66 +14,43 @@ WHOLE_WORDS = (
     "when", "with",
 )
 
-
-def letters_only(token: Column) -> Column:
-    """Token without non-letters at its ends; a closing hyphen stays."""
-    return F.regexp_replace(token, r"^[^A-Za-z]+|[^A-Za-z-]+$", "")
-
-
-def _described(token: Column) -> Column:
-    bare = letters_only(token)
-    return F.struct(
-        token.alias("raw"),
-        F.length(bare).alias("size"),
-        F.lower(bare).isin(*WHOLE_WORDS).alias("whole"),
-        (F.lower(bare) == "or").alias("is_or"),
-        bare.endswith("-").alias("hyphen"),
-    )
-
-
-def _joins_three(a: Column, b: Column, c: Column) -> Column:
-    usable = (a["size"] > 0) & (b["size"] > 0) & (c["size"] > 0) & ~a["whole"]
-    short_middle = (
-        a["size"].between(2, 4) & (b["size"] <= 2) & (c["size"] >= 4) & (~b["whole"] | b["is_or"])
-    )
-    short_end = (a["size"] >= 4) & (b["size"] >= 4) & (c["size"] <= 2) & ~c["whole"]
-    return F.coalesce(usable & (short_middle | short_end), F.lit(False))
-
-
-def _joins_two(a: Column, b: Column) -> Column:
-    usable = (a["size"] > 0) & (b["size"] > 0) & ~a["whole"] & ~b["whole"]
-    rule = (
-        a["hyphen"]
-        | ((a["size"] <= 3) & (b["size"] >= 4))
-        | ((a["size"] >= 4) & (b["size"] <= 2))
-    )
-    return F.coalesce(usable & rule, F.lit(False))
-
-
-def _repair_line(tokens: Column) -> Column:
-    """Greedy scan: how many tokens join at a position depends only on the next two tokens, so
-    each token is written behind that number and one left-to-right regex pass does the walk.
-    A line feed cannot occur inside a token and serves as the separator."""
-
-    def marked(token: Column, position: Column) -> Column:
-        second = F.get(tokens, position + 1)
-        third = F.get(tokens, position + 2)
-        width = (
-            F.when(_joins_three(token, second, third), "3")
-            .when(_joins_two(token, second), "2")
-            .otherwise("1")
-        )
-        return F.concat(F.lit("\n"), width, token["raw"])
-
-    walked = F.regexp_replace(
-        F.array_join(F.transform(tokens, marked), ""),
-        "\n3([^\n]*)\n.([^\n]*)\n.([^\n]*)|\n2([^\n]*)\n.([^\n]*)|\n1([^\n]*)",
-        " $1$2$3$4$5$6",
-    )
-    return F.substring(walked, 2, 2**31 - 1)
+# A token is: no letters, then its core from the first letter to the last letter or hyphen, then
+# neither letters nor hyphens. Only the core counts for the rules.
+_BEFORE = r"[^A-Za-z\s]*"
+_AFTER = r"[^A-Za-z\-\s]*(?=\s|\z)"
+
+_ONE_OR_TWO = r"[A-Za-z][A-Za-z\-]?"
+_UP_TO_THREE = r"[A-Za-z](?:\S?[A-Za-z\-])?"
+_TWO_TO_FOUR = r"[A-Za-z]\S{0,2}[A-Za-z\-]"
+_FOUR_OR_MORE = r"[A-Za-z]\S{2,}[A-Za-z\-]"
+_ANY = r"[A-Za-z](?:\S*[A-Za-z\-])?"
+_HYPHENED = r"[A-Za-z]\S*-"
+
+
+def _token(core: str, fragment: bool = True, also: str = "") -> str:
+    """Pattern of a token with such a core; a fragment is none of the whole words, except ``also``."""
+    listed = "|".join(word for word in WHOLE_WORDS if word != also)
+    guard = rf"(?!(?i:{listed}){_AFTER})" if fragment else ""
+    return f"({_BEFORE}{guard}{core}{_AFTER})"
+
+
+#: What joins, three tokens before two; any other token stands alone. Tokens are taken from left to
+#: right and a match always ends at the end of a token, so the replacement is the greedy scan.
+_JOINED = "|".join(
+    [
+        " ".join([_token(_TWO_TO_FOUR), _token(_ONE_OR_TWO, also="or"), _token(_FOUR_OR_MORE, fragment=False)]),
+        " ".join([_token(_FOUR_OR_MORE), _token(_FOUR_OR_MORE, fragment=False), _token(_ONE_OR_TWO)]),
+        " ".join([_token(_HYPHENED), _token(_ANY)]),
+        " ".join([_token(_UP_TO_THREE), _token(_FOUR_OR_MORE)]),
+        " ".join([_token(_FOUR_OR_MORE), _token(_ONE_OR_TWO)]),
+        r"(\S+)",
+    ]
+)
+_ALL_GROUPS = "".join(f"${group}" for group in range(1, 14))
 
 
 def repair_lines(text: Column) -> Column:
     """Text with split words joined; every line comes out with single blanks between tokens."""
-    tokens = F.transform(lines(text), lambda line: F.transform(words(line), _described))
-    return F.array_join(F.transform(tokens, _repair_line), "\n")
+    ended = F.regexp_replace(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END, "\n")
+    spaced = F.regexp_replace(F.regexp_replace(ended, r"(?U)[^\S\n]+", " "), r"(?dm)^ | $", "")
+    return F.regexp_replace(spaced, _JOINED, _ALL_GROUPS)

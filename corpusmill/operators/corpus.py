@@ -47,8 +47,8 @@ def chunk_pages(pages: DataFrame, size: int = 800, overlap: int = 100) -> DataFr
     step = size - overlap
     bucket = F.floor(F.col("page_no") / PAGES_PER_BUCKET)
     parts = (
-        pages.select("source_path", "page_no", repair_lines(strip(F.col("text"))).alias("text"))
-        .filter(F.col("text") != "")
+        pages.filter(F.col("text").rlike(r"(?U)\S"))
+        .select("source_path", "page_no", repair_lines(strip(F.col("text"))).alias("text"))
         .select(
             "source_path", "page_no", bucket.alias("bucket"),
             F.concat("text", F.lit(PAGE_GAP)).alias("text"),

@@ -95,127 +95,113 @@ def run_rows_from_tables(query_logs: DataFrame, evaluations: DataFrame) -> DataF
     )
 
 
-def _agent_rows(records: DataFrame) -> DataFrame:
-    r = "response"
-    step_type = records.select(f"{r}.steps").schema[0].dataType
-    steps = F.coalesce(f"{r}.steps", F.from_json(F.lit("[]"), step_type))
-    prepared = (
-        records.withColumn("_steps", steps)
-        .withColumn("_trace", log_trace(F.col("_steps")))
-        .withColumn("s", summarize_trace(F.col("_trace")))
-        .withColumn("a", first_step(F.col("_steps"), ANSWER))
-    )
+def _agent_columns() -> dict[str, Column]:
+    response, request = F.col("response"), F.col("request")
     output, metrics = F.col("a.output"), F.col("a.checkpoint.metrics")
-    called = F.col(f"{r}.final_output.answer_metadata")
+    called = response["final_output"]["answer_metadata"]
+    reported, estimated = output["provider_reported_cost_usd"], output["estimated_cost_usd"]
 
     def metric(name: str) -> Column:
         return F.try_element_at(metrics, F.lit(name))
 
-    reported = output["provider_reported_cost_usd"]
-    return _run_row(
-        prepared,
-        timestamp=F.col("timestamp"),
-        request_kind=F.lit("agent_run"),
-        task=F.col("request.task"),
-        quality_mode=F.coalesce(_filled(F.col("request.quality_mode")), F.lit("default")),
-        prompt_version=F.col("request.prompt_version"),
-        agent_run_id=F.col(f"{r}.run_id"),
-        agent_task_type=F.col(f"{r}.task_type"),
-        instruction=F.col("request.instruction"),
-        agent_status=F.col(f"{r}.status"),
-        agent_stop_reason=F.col(f"{r}.stop_reason"),
-        agent_step_count=F.size("_steps"),
-        agent_report_json=F.to_json(r),
-        provider=called["provider"],
-        model=called["model"],
-        reranker_type=F.col("request.reranker_type"),
-        reranker_top_k=F.lit(None).cast("int"),
-        fallback_used=called["fallback_used"],
-        routing_reason=F.col(f"{r}.stop_reason"),
-        latency_ms=F.aggregate(
-            "_steps", F.lit(0.0), lambda total, step: total + F.coalesce(step["latency_ms"], F.lit(0.0))
+    return {
+        "agent_run_id": response["run_id"],
+        "agent_task_type": response["task_type"],
+        "instruction": request["instruction"],
+        "agent_status": response["status"],
+        "agent_stop_reason": response["stop_reason"],
+        "agent_step_count": F.coalesce(F.size("response.steps"), F.lit(0)),
+        "agent_report_json": F.to_json("response"),
+        "provider": called["provider"],
+        "model": called["model"],
+        "reranker_type": request["reranker_type"],
+        "fallback_used": called["fallback_used"],
+        "routing_reason": response["stop_reason"],
+        "latency_ms": F.coalesce(
+            F.aggregate(
+                "response.steps", F.lit(0.0), lambda total, step: total + F.coalesce(step["latency_ms"], F.lit(0.0))
+            ),
+            F.lit(0.0),
         ),
-        retrieval_ms=F.col("s.retrieval_ms"),
-        generation_ms=F.col("s.generation_ms"),
-        retrieval_mode=F.col("s.retrieval_mode"),
-        guardrail_abstained=F.lit(False),
-        guardrail_scope_status=F.col("s.scope_status"),
-        guardrail_evidence_status=F.col("s.evidence_status"),
-        guardrail_reason=F.col(f"{r}.stop_reason"),
-        trace_events=F.size("_trace"),
-        groundedness=metric("groundedness"),
-        answer_relevance=metric("answer_relevance"),
-        citation_score=metric("citation_score"),
-        completeness_score=metric("completeness"),
-        cost_usd=output["estimated_cost_usd"],
-        provider_reported_cost_usd=reported,
-        display_cost_usd=display_cost(reported, output["estimated_cost_usd"]),
-        pricing_source=output["pricing_source"],
-        provider_usage_source=output["provider_usage_source"],
-        provider_generation_id=output["provider_generation_id"],
-        cost_is_estimated=reported.isNull(),
-        question=F.col("request.question"),
-    )
+        "guardrail_abstained": F.lit(False),
+        "guardrail_scope_status": F.col("s.scope_status"),
+        "guardrail_evidence_status": F.col("s.evidence_status"),
+        "guardrail_reason": response["stop_reason"],
+        "groundedness": metric("groundedness"),
+        "answer_relevance": metric("answer_relevance"),
+        "citation_score": metric("citation_score"),
+        "completeness_score": metric("completeness"),
+        "cost_usd": estimated,
+        "provider_reported_cost_usd": reported,
+        "display_cost_usd": display_cost(reported, estimated),
+        "pricing_source": output["pricing_source"],
+        "provider_usage_source": output["provider_usage_source"],
+        "provider_generation_id": output["provider_generation_id"],
+        "cost_is_estimated": reported.isNull(),
+    }
+
+
+def _query_columns() -> dict[str, Column]:
+    routing, evaluation = F.col("response.routing"), F.col("response.evaluation")
+    reranking, guardrails = F.col("response.reranking"), F.col("response.guardrails")
+    reported, estimated = evaluation["provider_reported_cost_usd"], evaluation["estimated_cost_usd"]
+    guarded = routing["selected_provider"] == "guardrail"
+    return {
+        "provider": routing["selected_provider"],
+        "model": routing["selected_model"],
+        **{name: reranking[name] for name in ("reranker_type", "reranker_model", "reranker_top_k")},
+        **{name: routing[name] for name in ("fallback_used", "fallback_provider", "fallback_model")},
+        "routing_reason": routing["reason"],
+        "latency_ms": F.col("response.latency_ms"),
+        "guardrail_abstained": F.coalesce(guardrails["abstained"], guarded, F.lit(False)),
+        "guardrail_scope_status": F.coalesce(_filled(guardrails["scope_status"]), "s.scope_status"),
+        "guardrail_evidence_status": F.coalesce(_filled(guardrails["evidence_status"]), "s.evidence_status"),
+        "guardrail_reason": F.coalesce(_filled(guardrails["reason"]), "s.reason", routing["reason"]),
+        "groundedness": evaluation["groundedness_score"],
+        "answer_relevance": evaluation["answer_relevance_score"],
+        **{
+            name: evaluation[name]
+            for name in (
+                "citation_score", "completeness_score", "pricing_source", "provider_usage_source",
+                "provider_generation_id", "cost_is_estimated", "provider_reported_cost_usd",
+            )
+        },
+        "cost_usd": estimated,
+        "display_cost_usd": display_cost(reported, estimated),
+    }
 
 
-def _query_rows(records: DataFrame) -> DataFrame:
-    prepared = records.withColumn("_trace", F.col("response.trace.events")).withColumn(
-        "s", summarize_trace(F.col("_trace"))
-    )
-
-    def from_response(path: str) -> Column:
-        return F.col(f"response.{path}")
+def run_rows_from_log(records: DataFrame) -> DataFrame:
+    """Run rows of log lines, batch or stream; a line without kind is a query.
 
-    guarded = from_response("routing.selected_provider") == "guardrail"
-    reported = from_response("evaluation.provider_reported_cost_usd")
-    estimated = from_response("evaluation.estimated_cost_usd")
-    return _run_row(
-        prepared,
-        timestamp=F.col("timestamp"),
-        request_kind=F.lit("query"),
-        task=F.col("request.task"),
-        quality_mode=F.coalesce(_filled(F.col("request.quality_mode")), F.lit("default")),
-        prompt_version=F.col("request.prompt_version"),
-        agent_step_count=F.lit(None).cast("int"),
-        provider=from_response("routing.selected_provider"),
-        model=from_response("routing.selected_model"),
-        reranker_type=from_response("reranking.reranker_type"),
-        reranker_model=from_response("reranking.reranker_model"),
-        reranker_top_k=from_response("reranking.reranker_top_k"),
-        fallback_used=from_response("routing.fallback_used"),
-        fallback_provider=from_response("routing.fallback_provider"),
-        fallback_model=from_response("routing.fallback_model"),
-        routing_reason=from_response("routing.reason"),
-        latency_ms=from_response("latency_ms"),
-        retrieval_ms=F.coalesce("s.retrieval_ms", F.lit(0.0)),
-        generation_ms=F.coalesce("s.generation_ms", F.lit(0.0)),
-        retrieval_mode=F.col("s.retrieval_mode"),
-        guardrail_abstained=F.coalesce(from_response("guardrails.abstained"), guarded, F.lit(False)),
-        guardrail_scope_status=F.coalesce(_filled(from_response("guardrails.scope_status")), "s.scope_status"),
-        guardrail_evidence_status=F.coalesce(_filled(from_response("guardrails.evidence_status")), "s.evidence_status"),
-        guardrail_reason=F.coalesce(_filled(from_response("guardrails.reason")), "s.reason", from_response("routing.reason")),
-        trace_events=F.coalesce(F.size("_trace"), F.lit(0)),
-        groundedness=from_response("evaluation.groundedness_score"),
-        answer_relevance=from_response("evaluation.answer_relevance_score"),
-        citation_score=from_response("evaluation.citation_score"),
-        completeness_score=from_response("evaluation.completeness_score"),
-        cost_usd=estimated,
-        provider_reported_cost_usd=reported,
-        display_cost_usd=display_cost(reported, estimated),
-        pricing_source=from_response("evaluation.pricing_source"),
-        provider_usage_source=from_response("evaluation.provider_usage_source"),
-        provider_generation_id=from_response("evaluation.provider_generation_id"),
-        cost_is_estimated=from_response("evaluation.cost_is_estimated"),
-        question=F.col("request.question"),
+    Both kinds of line share one pass: each column is chosen per row.
+    """
+    is_agent = F.coalesce(F.col("request_kind") == "agent_run", F.lit(False))
+    trace = F.when(is_agent, log_trace(F.col("response.steps"))).otherwise(F.col("response.trace.events"))
+    prepared = (
+        records.withColumn("_trace", trace)
+        .withColumn("s", summarize_trace(F.col("_trace")))
+        .withColumn("a", F.when(is_agent, first_step(F.col("response.steps"), ANSWER)))
     )
-
-
-def run_rows_from_log(records: DataFrame) -> DataFrame:
-    """Run rows of log lines, batch or stream; a line without kind is a query."""
-    kind = F.coalesce(_filled(F.col("request_kind")), F.lit("query"))
-    agents = _agent_rows(records.filter(kind == "agent_run"))
-    queries = _query_rows(records.filter(kind != "agent_run"))
-    return agents.unionByName(queries)
+    shared = {
+        "timestamp": F.col("timestamp"),
+        "request_kind": F.when(is_agent, "agent_run").otherwise("query"),
+        "task": F.col("request.task"),
+        "quality_mode": F.coalesce(_filled(F.col("request.quality_mode")), F.lit("default")),
+        "prompt_version": F.col("request.prompt_version"),
+        "question": F.col("request.question"),
+        "retrieval_ms": F.coalesce("s.retrieval_ms", F.lit(0.0)),
+        "generation_ms": F.coalesce("s.generation_ms", F.lit(0.0)),
+        "retrieval_mode": F.col("s.retrieval_mode"),
+        "trace_events": F.coalesce(F.size("_trace"), F.lit(0)),
+    }
+    agents, queries = _agent_columns(), _query_columns()
+    chosen = {
+        name: F.when(is_agent, agents.get(name)).otherwise(queries.get(name, F.lit(None)))
+        for name in RUN_COLUMNS
+        if name not in shared
+    }
+    return _run_row(prepared, **shared, **chosen)
 
 
 def filter_options(rows: DataFrame, column: str) -> DataFrame:

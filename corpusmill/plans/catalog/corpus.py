@@ -19,6 +19,7 @@ from corpusmill.plans.catalog import inputs
 from corpusmill.plans.catalog.inputs import (
     CHUNKS_SQL, DOCUMENTS_SQL, LEGAL_ARTICLES_SQL, LEGAL_CHUNKS_SQL, LEGAL_DOCUMENTS_SQL, cut_sql,
 )
+from corpusmill.session import stored
 
 
 def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,6 +192,11 @@ def legal_chunks_frame(spark: SparkSession, folder: str) -> DataFrame:
     return legal_document_chunks(inputs.legal_documents(spark, folder), 1400, 200)
 
 
+def stored_legal_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as the stored table that searches and benchmark building start from."""
+    return stored(legal_chunks_frame(spark, folder), "legal-chunks")
+
+
 def legal_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return legal_chunks_frame(spark, folder).select(
         "chunk_id", F.col("token_count").cast("bigint").alias("token_count"), "content",

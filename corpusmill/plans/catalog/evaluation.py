@@ -21,7 +21,7 @@ from corpusmill.operators.review import (
 )
 from corpusmill.operators.sampling import evenly_spaced
 from corpusmill.plans.catalog import inputs
-from corpusmill.plans.catalog.corpus import legal_chunks_frame
+from corpusmill.plans.catalog.corpus import stored_legal_chunks
 from corpusmill.plans.catalog.inputs import CHUNKS_SQL, DOCUMENTS_SQL, LEGAL_CHUNKS_SQL, QUESTIONS_SQL
 from corpusmill.plans.catalog.retrieval import (
     BM25_SQL, CENTROID_SQL, DENSE_SQL, FTS_SQL, chunks, embedded_chunks, embedded_questions,
@@ -187,7 +187,7 @@ BENCH_SAMPLE = f"WITH {CHUNKS_SQL},{BENCH_SAMPLE_SQL} SELECT sample_pos, chunk_i
 
 def bench_questions(spark: SparkSession, folder: str) -> DataFrame:
     """A sample for every chunk of the legal text."""
-    content = heuristic_content(evenly_spaced(legal_chunks_frame(spark, folder)))
+    content = heuristic_content(evenly_spaced(stored_legal_chunks(spark, folder)))
     built = build_dataset(content)
     return built.select(
         "sample_pos", "question", F.array_join("relevant_chunk_ids", ";").alias("relevant"), "gold_answer",
@@ -361,8 +361,8 @@ FROM (SELECT * FROM dense_ranked WHERE rank = 1) d LEFT JOIN judged j ON j.query
 
 
 def eval_harness(spark: SparkSession, folder: str) -> DataFrame:
-    """A sampled benchmark of heuristic questions evaluated with BM25."""
-    corpus = chunks(spark, folder)
+    """A sampled benchmark of heuristic questions evaluated with BM25; corpus and samples are stored first."""
+    corpus = stored(chunks(spark, folder), "chunks")
     built = build_dataset(heuristic_content(evenly_spaced(corpus, SAMPLES)))
     samples = built.select(
         F.col("sample_pos").cast("string").alias("query_id"), "question", "relevant_chunk_ids",

@@ -19,7 +19,7 @@ from corpusmill.operators.prompts import gather_context, render_prompts
 from corpusmill.operators.retrieve import RetrievalSettings
 from corpusmill.plans.answer import assemble_responses, prepare_prompts
 from corpusmill.plans.catalog import inputs
-from corpusmill.plans.catalog.corpus import legal_chunks_frame
+from corpusmill.plans.catalog.corpus import stored_legal_chunks
 from corpusmill.plans.catalog.inputs import LEGAL_CHUNKS_SQL
 from corpusmill.plans.catalog.retrieval import BM25_SQL, postings_sql, terms_sql
 
@@ -351,7 +351,7 @@ SELECT query_id, groundedness, relevance, citation, completeness FROM rated"""
 
 
 def legal_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return legal_chunks_frame(spark, folder).withColumn("task", F.lit("legal_qa"))
+    return stored_legal_chunks(spark, folder).withColumn("task", F.lit("legal_qa"))
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:

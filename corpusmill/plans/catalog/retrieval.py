@@ -14,7 +14,7 @@ from corpusmill.operators.lexical_search import bm25_topk, filter_only_topk, fts
 from corpusmill.operators.rerank import rerank
 from corpusmill.operators.retrieve import RetrievalSettings, retrieve
 from corpusmill.plans.catalog import inputs
-from corpusmill.plans.catalog.corpus import legal_chunks_frame
+from corpusmill.plans.catalog.corpus import stored_legal_chunks
 from corpusmill.plans.catalog.inputs import CHUNKS_SQL, LEGAL_CHUNKS_SQL, QUESTIONS_SQL
 
 TOP_K = 4
@@ -219,7 +219,7 @@ placed AS (
 
 
 def metadata_filter_query(spark: SparkSession, folder: str) -> DataFrame:
-    corpus = legal_chunks_frame(spark, folder)
+    corpus = stored_legal_chunks(spark, folder)
     asked = lexical_queries(_placed_questions(spark, folder, with_text=True))
     statistics = term_statistics(corpus, asked.select(F.explode("terms").alias("term")))
     return result(bm25_topk(asked, analyzed(corpus), statistics, TOP_K))
@@ -232,7 +232,7 @@ SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm25_ranked WHERE
 
 def filter_only_query(spark: SparkSession, folder: str) -> DataFrame:
     asked = lexical_queries(_placed_questions(spark, folder, with_text=False))
-    return result(filter_only_topk(asked, legal_chunks_frame(spark, folder), TOP_K))
+    return result(filter_only_topk(asked, stored_legal_chunks(spark, folder), TOP_K))
 
 
 FILTER_ONLY = f"""WITH {LEGAL_CHUNKS_SQL},{QUESTIONS_SQL},{PLACED_SQL},
