@@ -6,10 +6,12 @@ from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusmill.functions.agent import ANSWER, RETRIEVE, first_step, log_trace, run_latency_ms, stored_trace
 from corpusmill.functions.pricing import display_cost
 from corpusmill.functions.trace import summarize_trace
+from corpusmill.schemas import QUERY_LOGS
 
 #: Columns of a run row in order.
 RUN_COLUMNS = (
@@ -236,20 +238,29 @@ def agent_run(rows: DataFrame, run_id: str) -> DataFrame:
     return rows.filter((F.col("request_kind") == "agent_run") & (F.col("agent_run_id") == run_id))
 
 
+def _log_table(frame: DataFrame) -> DataFrame:
+    """The columns of the log table in order, with typed nulls for those a kind of run does not have."""
+    present = set(frame.columns)
+    return frame.select(
+        *[
+            (F.col(field.name) if field.name in present else F.lit(None)).cast(field.dataType).alias(field.name)
+            for field in StructType.fromDDL(QUERY_LOGS)
+        ]
+    )
+
+
 def query_log_rows(responses: DataFrame) -> DataFrame:
     """Log table rows of answered requests; ``query_id`` is their key."""
-    return responses.select(
-        F.col("query_id").alias("query_log_id"),
-        F.lit("query").alias("request_kind"),
-        "task", "quality_mode", "prompt_version",
-        F.col("provider").alias("selected_provider"),
-        F.when(~F.col("abstained"), F.col("model")).alias("model_name"),
-        "reranker_type", "reranker_model", "reranker_top_k", "fallback_used", "fallback_provider",
-        "fallback_model", "routing_reason", "question", "answer", "latency_ms", "prompt_tokens",
-        "completion_tokens", "total_tokens", "retrieved_chunk_ids", "trace_json",
-        F.lit("completed").alias("status"),
-        "created_at",
+    named = responses.withColumns(
+        {
+            "query_log_id": F.col("query_id"),
+            "request_kind": F.lit("query"),
+            "selected_provider": F.col("provider"),
+            "model_name": F.when(~F.col("abstained"), F.col("model")),
+            "status": F.lit("completed"),
+        }
     )
+    return _log_table(named)
 
 
 def evaluation_rows(responses: DataFrame) -> DataFrame:
@@ -281,7 +292,7 @@ def agent_log_rows(records: DataFrame) -> DataFrame:
     run = F.col("response")
     called = F.col("response.final_output.answer_metadata")
     listed = F.transform("response.final_output.retrieved_chunks", lambda c: c["chunk_id"])
-    return _with_answer(records).select(
+    rows = _with_answer(records).select(
         run["run_id"].alias("query_log_id"),
         F.lit("agent_run").alias("request_kind"),
         "request.task", "request.quality_mode", "request.prompt_version",
@@ -308,6 +319,7 @@ def agent_log_rows(records: DataFrame) -> DataFrame:
         run["status"].alias("status"),
         F.col("timestamp").alias("created_at"),
     )
+    return _log_table(rows)
 
 
 def agent_evaluation_rows(records: DataFrame) -> DataFrame:

@@ -93,6 +93,18 @@ _RESPONSE = (
     f"retrieved_chunks: array<{_CHUNK_REF}>>, stop_reason: string>"
 )
 
+#: One logged request or agent run; the agent columns stay empty for requests.
+QUERY_LOGS = (
+    "query_log_id string, request_kind string, task string, quality_mode string, prompt_version string, "
+    "agent_run_id string, agent_task_type string, instruction string, agent_status string, "
+    "agent_stop_reason string, agent_step_count int, agent_report_json string, selected_provider string, "
+    "model_name string, reranker_type string, reranker_model string, reranker_top_k int, "
+    "fallback_used boolean, fallback_provider string, fallback_model string, routing_reason string, "
+    "question string, answer string, latency_ms double, prompt_tokens int, completion_tokens int, "
+    f"total_tokens int, retrieved_chunk_ids array<string>, trace_json {TRACE_TYPE}, status string, "
+    "created_at timestamp"
+)
+
 #: One line of the request log: a query or an agent run, told apart by ``request_kind``.
 LOG_RECORD = f"timestamp timestamp, request_kind string, request {_REQUEST}, response {_RESPONSE}"
 
