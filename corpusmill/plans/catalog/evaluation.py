@@ -15,7 +15,7 @@ from corpusmill.operators.lexical_search import bm25_topk, fts_topk
 from corpusmill.operators.metrics import mean_metrics, metric_names, sample_metrics, worst_samples
 from corpusmill.operators.pooling import expand_labels, pool_candidates
 from corpusmill.operators.reports import compare_reports, generation_method, metric_map, pivot_metrics
-from corpusmill.operators.retrieve import RetrievalSettings
+from corpusmill.operators.retrieve import RetrievalSettings, with_chunk_columns
 from corpusmill.operators.review import (
     apply_edits, edits_out_of_range, filter_reviewed, list_samples, review_counts,
 )
@@ -340,10 +340,10 @@ POOL_CANDIDATES = f"WITH {POOL_SQL} SELECT query_id, chunk_id, source_order::BIG
 
 def pool_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The first dense result is the label; verdicts follow from the length of the chunk."""
-    pool, dense = _pool(spark, folder)
+    pool, dense = (stored(frame, "pool") for frame in _pool(spark, folder))
     samples = dense.filter("rank = 1").select("query_id", F.array("chunk_id").alias("relevant_chunk_ids"))
     said = F.when(F.length("content") % 3 == 0, "Yes.").when(F.length("content") % 3 == 1, "no")
-    verdicts = pool.select("query_id", "chunk_id").join(chunks(spark, folder).select("chunk_id", "content"), "chunk_id").withColumn("raw", said)
+    verdicts = with_chunk_columns(pool.select("query_id", "chunk_id"), chunks(spark, folder), "content").withColumn("raw", said)
     expanded = expand_labels(samples, pool, verdicts)
     return expanded.select(
         "query_id", F.array_join("relevant_chunk_ids", ";").alias("relevant"), F.array_join("candidates_judged", ";").alias("judged"),

@@ -12,7 +12,7 @@ from corpusmill.operators.dense import dense_topk
 from corpusmill.operators.lexical_index import analyzed, term_statistics, tokens, vocabulary
 from corpusmill.operators.lexical_search import bm25_topk, filter_only_topk, fts_topk
 from corpusmill.operators.rerank import rerank
-from corpusmill.operators.retrieve import RetrievalSettings, retrieve
+from corpusmill.operators.retrieve import RetrievalSettings, retrieve, with_chunk_columns
 from corpusmill.plans.catalog import inputs
 from corpusmill.plans.catalog.corpus import stored_legal_chunks
 from corpusmill.plans.catalog.inputs import CHUNKS_SQL, LEGAL_CHUNKS_SQL, QUESTIONS_SQL
@@ -410,7 +410,7 @@ def rerank_query(spark: SparkSession, folder: str) -> DataFrame:
     queries = lexical_queries(asked)
     statistics = term_statistics(corpus, queries.select(F.explode("terms").alias("term")))
     found = bm25_topk(queries, analyzed(corpus), statistics, 12)
-    with_text = found.join(corpus.select("chunk_id", "content"), "chunk_id")
+    with_text = with_chunk_columns(found, corpus, "content")
     ranked = rerank(with_text, asked, overlap_score(F.col("question"), F.col("content")), keep=TOP_K)
     return ranked.select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "reranker_type",
