@@ -554,7 +554,7 @@ def stream_replace(spark: SparkSession, folder: str) -> DataFrame:
     """All documents stored; those with a label arrive again as a stream, twice, the later version counts."""
     docs = inputs.documents(spark, folder)
     store = scratch_folder(spark, "store")
-    write_corpus(docs.drop("content"), plain_chunks(docs), store)
+    write_corpus(docs.drop("content"), plain_chunks(docs), store, buckets=4)
     labels = inputs.table(spark, folder, "labels")
     versions = docs.join(labels, F.col("doc_id") == F.col("document_id")).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
     arriving = versions.withColumn("content", F.concat(F.lit("Version "), F.col("version").cast("string"), F.lit("\n"), F.col("content")))

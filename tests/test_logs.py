@@ -237,9 +237,11 @@ def contents(spark, folder):
     return {r.chunk_id: r.content for r in read_corpus(spark, folder, "chunks").collect()}
 
 
-def test_replace_in_store(spark, tmp_path):
+@pytest.mark.parametrize("buckets", [2, 499])
+def test_replace_in_store(spark, tmp_path, buckets):
+    """With few directories sources share them, with many a replaced source leaves one empty."""
     folder = str(tmp_path / "store")
-    write_corpus(*documents(spark, [(i, "t", f"s{i}", "T", f"text {i}") for i in range(30)]), folder)
+    write_corpus(*documents(spark, [(i, "t", f"s{i}", "T", f"text {i}") for i in range(30)]), folder, buckets)
     new = [(100, "t", "s3", "T", "new"), (101, "other", "s4", "T", "moved"), (102, "t", "s5", "T", ""), (103, "t", "s99", "T", "added")]
     for _ in range(2):  # replacing is idempotent
         replace_in_store(spark, folder, *documents(spark, new))
