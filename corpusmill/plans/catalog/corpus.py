@@ -297,11 +297,8 @@ def embedding_config_check(spark: SparkSession, folder: str) -> DataFrame:
             (F.col("task") == "de") & (F.col("document_id") % 2 == 0), embedding_config("remote", "other", 1024)
         ).otherwise(embedding_config("deterministic", "deterministic-local", 64))),
     )
-    found = [stored_configs(docs, task).withColumn("task", F.lit(task)) for task in inputs.TASKS]
-    union = found[0]
-    for frame in found[1:]:
-        union = union.unionByName(frame)
-    return union.select("task", "provider", "model", F.col("dimensions").cast("bigint").alias("dimensions"))
+    found = stored_configs(docs)
+    return found.select("task", "provider", "model", F.col("dimensions").cast("bigint").alias("dimensions"))
 
 
 EMBEDDING_CONFIG_CHECK = f"""WITH {DOCUMENTS_SQL}

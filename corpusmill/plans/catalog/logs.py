@@ -142,7 +142,7 @@ run_rows AS (
     CASE WHEN user_id % 7 <> 0 THEN event_type = 'error' END AS fallback_used, 'routed ' || event_type AS routing_reason,
     value AS latency_ms, retrieval_ms, generation_ms, retrieval_mode, user_id % 4 = 0 AS guardrail_abstained,
     scope_status AS guardrail_scope_status, evidence_status AS guardrail_evidence_status,
-    coalesce(reason, 'routed ' || event_type) AS guardrail_reason, n_events AS trace_events,
+    coalesce(reason, 'routed ' || event_type) AS guardrail_reason, n_events::INT AS trace_events,
     CASE WHEN scored THEN (event_id % 4)::DOUBLE END AS groundedness, CASE WHEN scored THEN (user_id % 50)::DOUBLE / 10 END AS answer_relevance,
     CASE WHEN scored THEN (event_id % 3)::DOUBLE * 1.5::DOUBLE END AS citation_score, CASE WHEN scored THEN (event_id % 11)::DOUBLE / 4 END AS completeness_score,
     CASE WHEN scored THEN value / 1024 END AS cost_usd, CASE WHEN scored AND event_id % 5 = 0 THEN value / 512 END AS provider_reported_cost_usd,

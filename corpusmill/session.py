@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,11 @@ def build_session(app_name: str = "corpusmill", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+@cache
+def _machine_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpusmill-")
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path for intermediate tables under the shared folder named in ``spark.checkpoint.dir``.
 
@@ -39,8 +45,7 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _machine_folder()
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
