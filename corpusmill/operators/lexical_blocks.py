@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from corpusmill.operators.blocks import SCORED, RunningTopK, by_task, objects, row_blocks
 from corpusmill.operators.ranking import SCORE_DIGITS
+from corpusmill.session import ship_package
 
 
 @dataclass
@@ -97,6 +98,7 @@ def score_blocks(
     ``terms(query_id, task, term, weight, article_number, clause_number)`` have been checked to be
     small. ``part(tf, dl)`` is what a term adds to a score before its weight.
     """
+    ship_package(analyzed.sparkSession)
     terms = terms.astype(object).where(terms.notna(), None)
     shipped = {name: TaskQueries.of(own) for name, own in terms.groupby("task")}
     filtered = bool(terms["article_number"].notna().any() or terms["clause_number"].notna().any())

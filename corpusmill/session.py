@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,24 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once per application.
+
+    Executors have no other way to import it unless it is installed there.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='corpusmill-package-')}/corpusmill", "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
+
 def fits_broadcast(frame: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when the frame holds at most ``max_rows`` rows; reads no further than that bound."""
     return frame.limit(max_rows + 1).count() <= max_rows

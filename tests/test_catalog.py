@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import inspect
+import os
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -48,3 +51,24 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     frame = entry_module.entry(spark)
     assert frame.columns == ["query_id", "rank", "chunk_id", "score"] and frame.count() > 0
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+print("rows", __spark_entry__.entry(spark).count() > 0)
+"""
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the driver's tables")
+def test_workers_get_the_package(tmp_path):
+    """Python workers import the package although neither it nor the repository is on their path."""
+    script = ELSEWHERE.format(repo=str(Path(entry_module.__file__).parent))
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300,
+        env={name: value for name, value in os.environ.items() if name != "PYTHONPATH"},
+    )
+    assert "rows True" in done.stdout, done.stderr[-2000:]
