@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import read, word_array
 
+#: Words of a window; three doublings of a word's hash give a window's.
 WINDOW_WORDS = 8
 SYMBOLS = "#*$%&|<>"
 
@@ -51,30 +52,41 @@ def measure(frame: DataFrame, text: str = "text") -> DataFrame:
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(content, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     # Each select holds values that the next uses more than once, so none is computed twice.
-    split = frame.select(*kept, word_array(content).alias("_words"), lines.alias("_lines"))
-    hashes = F.when(
-        F.size("_words") >= WINDOW_WORDS,
-        F.transform(
-            F.sequence(F.lit(1), F.size("_words") - (WINDOW_WORDS - 1)),
-            lambda at: F.xxhash64(F.slice(F.col("_words"), at, WINDOW_WORDS)),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    split = frame.select(*kept, content.alias("_text"), word_array(content).alias("_words"), lines.alias("_lines"))
     counted = split.select(
         *kept,
         F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.translate(content, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.char_length(content) - F.char_length(F.translate(content, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.char_length(content) - F.char_length(F.translate(content, "!", ""))).cast("long").alias("n_exclaims"),
+        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        (F.char_length("_text") - F.char_length(F.regexp_replace("_text", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
+        (F.char_length("_text") - F.char_length(F.replace("_text", F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        hashes.alias("_hashes"),
+        F.transform("_words", lambda word: F.xxhash64(word)).alias("_h1"),
     )
-    # Only texts with a repeated window are sorted; neighbours in that order share a window's words.
+
+    def doubled(name: str, reach: int) -> Column:
+        """Hash of twice as many words per place, from hashes of ``reach`` words each."""
+        return F.transform(name, lambda value, at: F.xxhash64(value, F.get(F.col(name), at + reach)))
+
+    def whole(name: str, words: int) -> Column:
+        """The hashes of complete windows only."""
+        return F.slice(name, 1, F.greatest(F.col("n_words").cast("int") - (words - 1), F.lit(0)))
+
+    pairs = counted.withColumn("_h2", doubled("_h1", 1)).drop("_h1")
+    fours = pairs.withColumn("_h4", doubled("_h2", 2)).drop("_h2")
+    # The later of two equal windows brings a half window's repeat at each place but its last ones; texts with
+    # fewer repeats cannot have one and are spared the rest.
+    half = WINDOW_WORDS // 2
+    whole_fours = fours.withColumn("_whole4", whole("_h4", half))
+    suspect = F.size("_whole4") - F.size(F.array_distinct("_whole4")) > half
+    eights = whole_fours.withColumn("_h8", F.when(suspect, doubled("_h4", half))).drop("_h4", "_whole4")
+    hashed = eights.withColumn("_hashes", whole("_h8", WINDOW_WORDS)).drop("_h8")
+    # Neighbours in the order of hashes share a window's words.
     ordered = F.when(
         F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
         F.sort_array(F.transform("_hashes", lambda value, at: F.struct(value.alias("h"), at.alias("at")))),
     )
-    sorted_windows = counted.withColumn("_ordered", ordered).drop("_hashes")
+    sorted_windows = hashed.withColumn("_ordered", ordered).drop("_hashes")
     repeated = F.sort_array(
         F.transform(
             F.filter(
@@ -154,13 +166,10 @@ WITH cut AS (
   FROM documents
 ),
 windows AS (
-  SELECT row_no, unnest(range(1, len(words) - 6)) AS pos, words FROM cut WHERE len(words) >= 8
-),
-repeated AS (
-  SELECT row_no, pos FROM (
-    SELECT row_no, pos, count(*) OVER (PARTITION BY row_no, array_to_string(words[pos:pos + 7], ' ')) AS n FROM windows
-  ) WHERE n > 1
+  SELECT row_no, unnest(runs) AS run, generate_subscripts(runs, 1) AS pos
+  FROM (SELECT row_no, list_transform(range(1, len(words) - 6), lambda i: hash(words[i:i + 7])) AS runs FROM cut WHERE len(words) >= 8)
 ),
+repeated AS (SELECT row_no, pos FROM (SELECT row_no, pos, count(*) OVER (PARTITION BY row_no, run) AS n FROM windows) WHERE n > 1),
 covered AS (
   SELECT row_no, sum(least(8, coalesce(nxt - pos, 8)))::BIGINT AS n_repeat_words
   FROM (SELECT row_no, pos, lead(pos) OVER (PARTITION BY row_no ORDER BY pos) AS nxt FROM repeated) GROUP BY row_no
