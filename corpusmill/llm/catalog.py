@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import mixing, quality, sharding
+from corpusmill.llm import language, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
+    "op2_language": (language.op2_language, None),
+    "op3_packed_sequences": (packing.op3_packed_sequences, None),
     "op4_balanced_shards": (sharding.op4_balanced_shards, sharding.OP4_SQL),
+    "op5_simhash_near_duplicates": (simhash.op5_simhash_near_duplicates, None),
     "op6_quality_ledger": (quality.op6_quality_ledger, quality.OP6_SQL),
     "op8_source_mix": (mixing.op8_source_mix, mixing.OP8_SQL),
 }
