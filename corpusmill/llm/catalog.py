@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import language, mixing, packing, quality, sharding, simhash
+from corpusmill.llm import chat, language, mixing, packing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op2_language": (language.op2_language, None),
@@ -10,5 +10,7 @@ QUERIES = {
     "op4_balanced_shards": (sharding.op4_balanced_shards, sharding.OP4_SQL),
     "op5_simhash_near_duplicates": (simhash.op5_simhash_near_duplicates, None),
     "op6_quality_ledger": (quality.op6_quality_ledger, quality.OP6_SQL),
+    "op7_warc_bundles": (warc.op7_warc_bundles, warc.OP7_SQL),
     "op8_source_mix": (mixing.op8_source_mix, mixing.OP8_SQL),
+    "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
 }
