@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat, language, mixing, packing, quality, sharding, simhash, warc
+from corpusmill.llm import chat, html_text, language, mixing, packing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op2_language": (language.op2_language, None),
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_quality_ledger": (quality.op6_quality_ledger, quality.OP6_SQL),
     "op7_warc_bundles": (warc.op7_warc_bundles, warc.OP7_SQL),
     "op8_source_mix": (mixing.op8_source_mix, mixing.OP8_SQL),
+    "op9_main_text": (html_text.op9_main_text, None),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
 }
