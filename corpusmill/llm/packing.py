@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -31,13 +31,24 @@ PRICING_ROUNDS = 400
 RANK_RANGES = 1024
 
 #: Tokens of words a task remembers before it starts anew, and words turned into pieces at a time.
-MEMO_WORDS = 300_000
-BLOCK_WORDS = 200_000
+MEMO_WORDS = 400_000
+BLOCK_WORDS = 50_000
+ENCODED = 1_000
 
 #: Texts with these are encoded as they are: letters whose case or form depends on neighbours, control blanks, special tokens.
 _WHOLE = re.compile(r"[^\x00-ɏ]|[\x1c-\x1f\x85\xa0]|<\|")
 
 
+def _printable_bytes() -> dict[int, int]:
+    """Byte to the character that stands for it in byte-level vocabularies: itself if printable, else 256 and on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in set(shown)]
+    return {byte: byte for byte in shown} | {byte: 256 + at for at, byte in enumerate(hidden)}
+
+
+_PRINTABLE = _printable_bytes()
+
+
 class WordEncoder:
     """Token ids of whole texts.
 
@@ -45,10 +56,23 @@ class WordEncoder:
     after the other; words are encoded once and remembered.
     """
 
+    #: The encoder of this worker process; later tasks find the words that earlier ones met.
+    shared: dict[int, WordEncoder] = {}
+
+    @classmethod
+    def of(cls, model: str) -> WordEncoder:
+        """The process's encoder for a tokenizer file's content."""
+        key = zlib.crc32(model.encode())
+        if key not in cls.shared:
+            cls.shared = {key: cls(model)}
+        return cls.shared[key]
+
     def __init__(self, model: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.model = self.tokenizer.model
         self._forget()
 
     def _forget(self) -> None:
@@ -57,22 +81,45 @@ class WordEncoder:
         self.first = np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[list[int]] = []
+        for at in range(0, len(texts), ENCODED):  # encodings are large, so few at a time
+            out += [found.ids for found in self.tokenizer.encode_batch_fast(texts[at : at + ENCODED], add_special_tokens=False)]
+        return out
+
+    def _remember(self, words: list[str], ids: list[np.ndarray | list[int]]) -> None:
+        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words))))
+        ends = self.first[-1] + np.cumsum([len(found) for found in ids], dtype=np.int64)
+        self.pool = np.concatenate([self.pool, *[np.array([i for found in ids for i in found], np.uint32)]])
+        self.first = np.concatenate([self.first, ends])
+
+    def _ids(self, word: str) -> np.ndarray:
+        code = self.memo[word]
+        return self.pool[self.first[code] : self.first[code + 1]]
+
+    def _letter_ids(self, word: str) -> list[int]:
+        """Ids of a lower-case letter run: the tokenizer's model alone, on bytes in their printable form."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_PRINTABLE)
+        return [token.id for token in self.model.tokenize(word)]
 
     def _codes(self, words: list[str]) -> np.ndarray:
-        new = list({word for word in words if word not in self.memo})
-        if new and len(self.memo) + len(new) > MEMO_WORDS:
+        new = set(words).difference(self.memo)
+        if new and len(self.memo) + 2 * len(new) > MEMO_WORDS:
             self._forget()
-            new = list(set(words))
+            new = set(words)
         if new:
-            found = self._encode(new)
-            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-            ends = self.first[-1] + np.cumsum([len(ids) for ids in found])
-            self.pool = np.concatenate([self.pool, np.array([i for ids in found for i in ids], np.uint32)])
-            self.first = np.concatenate([self.first, ends])
+            # A letter run and the marks after it are tokens of their own; only what is new of them is encoded.
+            cores = {word: core for word in new if (core := word.rstrip(".,")).isalpha()}
+            fresh = list(set(cores.values()).difference(self.memo))
+            self._remember(fresh, [self._letter_ids(core) for core in fresh])
+            rest = (new - cores.keys()) | {word[len(core) :] for word, core in cores.items() if word != core}
+            rest = list(rest.difference(self.memo))
+            self._remember(rest, self._encode(rest))
+            joined = [word for word, core in cores.items() if word != core]
+            self._remember(joined, [np.concatenate([self._ids(cores[word]), self._ids(word[len(cores[word]) :])]) for word in joined])
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
-    def blocks(self, texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    def blocks(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
         """Runs of consecutive texts: number of the first one and the ids of each."""
         at, words, counts = 0, [], []
         for row, text in enumerate(texts):
@@ -99,12 +146,18 @@ class WordEncoder:
         return np.split(self.pool[place], cuts) if counts else []
 
 
+def ids_crc32(ids: np.ndarray) -> int:
+    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit numbers."""
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
 def token_pieces(frame: DataFrame, tokenizer_path: str, identity: str = "doc_id", text: str = "text",
-                 capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length and ids of the pieces of whole texts.
+                 capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of the pieces of whole texts.
 
     A document is its ids and ``end_id``; only one longer than ``capacity`` is cut, into pieces of that length and a rest. A null
-    text is empty: one piece holding ``end_id``. The tokenizer's file is read on the driver and sent to the tasks.
+    text is empty: one piece holding ``end_id``. The tokenizer's file is read on the driver and sent to the tasks. Columns other
+    than the two named are not read; rows with a null id or repeated rows are cut like any other.
     """
     spark = frame.sparkSession
     ship_package(spark)
@@ -112,12 +165,13 @@ def token_pieces(frame: DataFrame, tokenizer_path: str, identity: str = "doc_id"
         model = spark.sparkContext.broadcast(file.read())
     slim = frame.select(F.col(f"`{identity}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = WordEncoder.of(model.value)
         for batch in batches:
-            encoder = encoder or WordEncoder(model.value)
-            for first, found in encoder.blocks(batch.column("text").to_pylist()):
+            texts = (value.as_py() for value in batch.column("text"))
+            for first, found in encoder.blocks(texts):
                 if not found:
                     continue
                 sizes = np.array([len(ids) + 1 for ids in found])
@@ -126,24 +180,17 @@ def token_pieces(frame: DataFrame, tokenizer_path: str, identity: str = "doc_id"
                 number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = number * capacity
                 length = np.minimum(sizes[owner] - start, capacity)
-                flat = np.concatenate([part for ids in found for part in (ids, [end_id])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(first + owner)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), lists],
-                    ["doc_id", "piece", "start", "length", "ids"],
-                )
-
-    return slim.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids array<int>")
-
-
-def ids_crc32(ids: Column) -> Column:
-    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-
-    @F.pandas_udf("long")
-    def crc(column: pd.Series) -> pd.Series:
-        return column.map(lambda values: zlib.crc32(np.asarray(values, "<u4").tobytes()))
+                flat = np.concatenate([part for ids in found for part in (ids, [end_id])]).astype(np.uint32)
+                ends = np.cumsum(length)
+                marks = [ids_crc32(flat[b - n : b]) for b, n in zip(ends, length)]
+                columns = [batch.column("doc_id").take(pa.array(first + owner)), pa.array(number.astype(np.int32)), pa.array(start),
+                           pa.array(length), pa.array(marks, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return crc(ids)
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    return slim.mapInArrow(run, schema + ", ids array<int>" * with_ids)
 
 
 @dataclass
@@ -350,8 +397,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def pack_documents(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """Pieces of all documents with their checksum and place; the ids themselves can be joined by doc_id and piece."""
-    pieces = token_pieces(documents, tokenizer_path).select("doc_id", "piece", "start", "length", ids_crc32(F.col("ids")).alias("ids_crc32"))
-    return pack(stored(pieces, "token-pieces"), "length", ["doc_id", "piece", "ids_crc32"])
+    pieces = stored(token_pieces(documents, tokenizer_path, with_ids=False), "token-pieces")
+    return pack(pieces, "length", ["doc_id", "piece", "ids_crc32"])
 
 
 def op3_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
