@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat, html_text, language, mixing, packing, quality, sharding, simhash, warc
+from corpusmill.llm import chat, html_text, language, mixing, neighbours, packing, quality, sharding, simhash, warc
 
 QUERIES = {
+    "op1_nearest_vectors": (neighbours.op1_nearest_vectors, None),
     "op2_language": (language.op2_language, None),
     "op3_packed_sequences": (packing.op3_packed_sequences, None),
     "op4_balanced_shards": (sharding.op4_balanced_shards, sharding.OP4_SQL),
