@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import ship_package, stored
 
-__all__ = ["WORD", "read", "running_sums", "ship_package", "stored", "word_array"]
+__all__ = ["WORD", "fresh", "read", "running_sums", "ship_package", "stored", "word_array"]
 
 #: Characters that separate words; everything else belongs to one.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,6 +21,14 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """The name, with marks added until no column of the frame has it."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_array(text: Column) -> Column:
     """Words of a text as an array; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from corpusmill.llm.common import read, ship_package
+from corpusmill.llm.common import fresh, read, ship_package
 
 UNKNOWN = "und"
+#: Texts of which no language has this part are rejected.
+LEAST_SCORE = 0.35
 
 #: Documents per language the model is fitted on, and pieces of PIECE_WORDS words taken from each, spread evenly over it.
 TRAIN_DOCUMENTS = 400
@@ -281,22 +283,23 @@ def training_pieces(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> li
     ]
 
 
-def identify(frame: DataFrame, model: Field | None, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds lang_pred and score to a frame.
+def identify(frame: DataFrame, model: Field | None, text: str = "text", keep_text: bool = True,
+             added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language and its score to a frame.
 
     Every word of the whole text is labelled by forward-backward; the language with the largest sum of word
     marginals is the text's, its share of the sum the score. ``und`` and 0 for a null text, one without any
-    letter, or without a model. Columns lang_pred and score of the frame are replaced, all others kept, the text
+    letter, or without a model. Columns of the frame named like ``added`` are replaced, all others kept, the text
     only with ``keep_text``.
     """
     spark = frame.sparkSession
     ship_package(spark)
-    kept = [column for column in frame.columns if column.lower() not in ("lang_pred", "score")]
+    kept = [column for column in frame.columns if column.lower() not in map(str.lower, added)]
     shared = spark.sparkContext.broadcast(model)
     source = frame.select(*[F.col(f"`{column}`") for column in kept])
     passed = [at for at, column in enumerate(kept) if keep_text or column != text]
     names = [kept[at] for at in passed]
-    schema = StructType([*[source.schema[at] for at in passed], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*[source.schema[at] for at in passed], StructField(added[0], StringType()), StructField(added[1], DoubleType())])
     text_at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +308,7 @@ def identify(frame: DataFrame, model: Field | None, text: str = "text", keep_tex
             predicted, scores = label(batch.column(text_at))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(at) for at in passed], pa.array(predicted, pa.string()), pa.array(scores, pa.float64())],
-                [*names, "lang_pred", "score"],
+                [*names, *added],
             )
 
     return source.mapInArrow(run, schema)
@@ -384,6 +387,13 @@ def fit_documents(documents: DataFrame) -> Field | None:
     return fit(training_pieces(usable))
 
 
+def in_known_language(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """Documents with a language: not ``und``, and at least ``least_score`` of the word marginals for one. All columns are kept."""
+    added = (fresh(documents, "_language"), fresh(documents, "_language_score"))
+    found = identify(documents, fit_documents(documents), added=added)
+    return found.filter((F.col(added[0]) != UNKNOWN) & (F.col(added[1]) >= least_score)).drop(*added)
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every whole document: doc_id, held_out, lang_pred, score."""
     documents = read(spark, folder, "documents")

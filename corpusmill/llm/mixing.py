@@ -38,8 +38,11 @@ def source_targets(sizes: DataFrame, weight: Column, max_epochs: int = MAX_EPOCH
     ).select("source_key", "source_size", "weight", "target")
 
 
-def mix_sources(frame: DataFrame, identity: str, source: str, size: str, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target and taken to a slim frame of identity, source and size.
+def mix_sources(
+    frame: DataFrame, identity: str, source: str, size: str, carried: str | None = None,
+    max_epochs: int = MAX_EPOCHS, seed: int = SEED,
+) -> DataFrame:
+    """identity, source, size, source_size, target and taken of every row, and the column ``carried``.
 
     Sources in code point order, null last, weigh 1, 2, 3, repeating. Rows get hash-random keys and are cut by
     key ranges inside their source; prefix sums over ranges and rows give each row its place. A source's
@@ -53,6 +56,7 @@ def mix_sources(frame: DataFrame, identity: str, source: str, size: str, max_epo
     keyed = frame.select(
         F.col(f"`{identity}`").alias("_identity"), F.col(f"`{source}`").alias("_source"),
         F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)).alias("_size"),
+        *[F.col(f"`{column}`").alias("_carried") for column in [carried] if column],
     ).withColumn("_key", F.md5(F.concat(F.coalesce(F.col("_identity").cast("string"), F.lit("")), F.lit(f":{seed}"))))
     # A null source and an empty name stay apart through the mark before it.
     marked = F.when(F.col("_source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("_source")))
@@ -70,9 +74,31 @@ def mix_sources(frame: DataFrame, identity: str, source: str, size: str, max_epo
     return placed.select(
         F.col("_identity").alias(identity), F.col("_source").alias(source), F.col("_size").alias(size), "source_size", "target",
         (epochs * F.col("_size") + part).cast("long").alias("taken"),
+        *[F.col("_carried").alias(column) for column in [carried] if column],
     )
 
 
+def mixed_documents(documents: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of documents: each document as often as it is taken.
+
+    Its last copy ends after the words that its source's budget still has, at most one document per source being cut; a cut text
+    has its words joined by blanks, and n_chars, if there is such a column, is that text's. Documents without words go.
+    """
+    rows = documents.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"),
+        F.size(word_array(F.col("text"))).cast("long").alias("words"),
+    )
+    mixed = mix_sources(rows, "id", "of", "words", "row").filter("taken > 0")
+    copies = mixed.select("row", "words", "taken", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("words")))).alias("nth"))
+    left = F.col("taken") - F.col("nth") * F.col("words")
+    cut = F.array_join(F.slice(word_array(F.col("row.text")), 1, left.cast("int")), " ")
+    whole = copies.select("row", F.when(left < F.col("words"), cut).alias("cut"))
+    changed = {"text": F.coalesce("cut", "row.text"), "n_chars": F.when(F.col("cut").isNotNull(), F.char_length("cut").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in documents.columns else None}
+    return whole.select(*[
+        changed[column].alias(column) if column in changed else F.col("row").getField(column).alias(column) for column in documents.columns
+    ])
+
+
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """What a mix of all documents takes: doc_id, size, source_size, target, taken, source."""
     slim = read(spark, folder, "documents").select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"))

@@ -8,10 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusmill.llm.common import read, ship_package, stored
+from corpusmill.llm.common import fresh, read, ship_package, stored
 from corpusmill.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -49,19 +50,20 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > len(starts)).view(">u8")[0])
 
 
-def fingerprints(frame: DataFrame, identity: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fingerprint (a long with the 64 bits) of whole texts; null and blank texts have fingerprint 0."""
+def with_fingerprint(frame: DataFrame, name: str, text: str = "text", shingle_words: int = SHINGLE_WORDS, keep_text: bool = True) -> DataFrame:
+    """Adds the fingerprint of whole texts as a long with the 64 bits; null and blank texts have 0."""
     ship_package(frame.sparkSession)
-    slim = frame.select(F.col(f"`{identity}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
+    text_at = frame.columns.index(text)
+    passed = [at for at in range(len(frame.columns)) if keep_text or at != text_at]
+    schema = StructType([*[frame.schema[at] for at in passed], StructField(name, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(value.as_py(), shingle_words) for value in batch.column("text")]
-            marks = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks)], ["doc_id", "fingerprint"])
+            found = [fingerprint(value.as_py(), shingle_words) for value in batch.column(text_at)]
+            marks = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*[batch.column(at) for at in passed], marks], schema.names)
 
-    return slim.mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    return frame.mapInArrow(run, schema)
 
 
 def _masks(bits: list[int], blocks: int, equal: int) -> list[int]:
@@ -186,6 +188,18 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, bucket_rows: in
         pending = more.select("mask", "bucket", F.col("a").alias("fingerprint"))
 
 
+def groups(marks: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """fingerprint, root (same for all that are linked) and component_id, the least doc_id, from doc_id and fingerprint."""
+    classes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("_least"))
+    rooted = components(links(classes.select("fingerprint"), max_distance)).withColumnRenamed("node", "fingerprint")
+    members = stored(
+        classes.join(rooted, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "_least"),
+        "fingerprint-roots",
+    )
+    least = members.groupBy("root").agg(F.min("_least").alias("component_id"))
+    return members.select("fingerprint", "root").join(least, "root")
+
+
 def near_duplicates(
     frame: DataFrame, identity: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS,
     max_distance: int = MAX_DISTANCE,
@@ -194,22 +208,34 @@ def near_duplicates(
 
     Equal texts meet in their fingerprint before anything is compared. Documents without words share
     fingerprint zero and are linked like others. Rows with a null doc_id are returned but name no component;
-    one that reaches no other gets null. Repeated rows are returned repeated. An empty frame gives no rows.
+    one that reaches no other gets null. Repeated rows are returned repeated. An empty frame gives no rows. Other columns are not read.
     """
-    marks = stored(fingerprints(frame, identity, text, shingle_words), "fingerprints")
-    classes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("_least"))
-    rooted = components(links(classes.select("fingerprint"), max_distance)).withColumnRenamed("node", "fingerprint")
-    members = stored(
-        classes.join(rooted, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "_least"),
-        "fingerprint-roots",
-    )
-    least = members.groupBy("root").agg(F.min("_least").alias("component_id"))
-    known = members.join(least, "root").select("fingerprint", "component_id")
-    return marks.join(known, "fingerprint").select(
+    slim = frame.select(F.col(f"`{identity}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    marks = stored(with_fingerprint(slim, "fingerprint", shingle_words=shingle_words, keep_text=False), "fingerprints")
+    return marks.join(groups(marks, max_distance), "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def keep_one(frame: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: the one with the smallest id, then the smallest text hash; null ids come last.
+
+    All columns are kept. Copies are cut to one per fingerprint and task before they are shuffled, and so are groups.
+    """
+    mark, root, nth = fresh(frame, "_fingerprint"), fresh(frame, "_root"), fresh(frame, "_nth")
+    order = [F.col(f"`{identity}`").asc_nulls_last(), F.xxhash64(F.col(f"`{text}`"))]
+    marked = stored(with_fingerprint(frame, mark, text), "fingerprinted")
+    found = groups(marked.select(F.col(f"`{identity}`").alias("doc_id"), F.col(mark).alias("fingerprint")))
+
+    def first_of(rows: DataFrame, key: str) -> DataFrame:
+        ranked = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+        return ranked.filter(F.col(nth) == 1).drop(nth)
+
+    distinct = first_of(marked, mark)
+    known = found.select(F.col("fingerprint").alias(mark), F.col("root").alias(root))
+    return first_of(distinct.join(known, mark), root).select(*[F.col(f"`{column}`") for column in frame.columns])
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(read(spark, folder, "documents"))
