@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import ship_package, stored
 
-__all__ = ["WORD", "fresh", "read", "running_sums", "ship_package", "stored", "word_array"]
+__all__ = ["WORD", "fresh", "hash_sample", "read", "running_sums", "ship_package", "stored", "word_array"]
 
 #: Characters that separate words; everything else belongs to one.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,6 +29,18 @@ def fresh(frame: DataFrame, name: str) -> str:
     return name
 
 
+def hash_sample(frame: DataFrame, by: Sequence[str], rows: int, limit: int) -> DataFrame:
+    """At most ``limit`` rows of a frame of ``rows`` rows, those with the smallest hash of the columns ``by``.
+
+    A bound on the hash leaves little more than ``limit`` rows before any task sends rows to the driver, so what is sent does not
+    grow with the number of tasks. Rows equal in ``by`` stay in any order.
+    """
+    place = F.xxhash64(*[F.col(f"`{column}`") for column in by])
+    part = min(1.0, (1.2 * limit + 100) / max(rows, 1))
+    bound = int(-(2**63) + part * (2**64 - 1)) if part < 1 else 2**63 - 1
+    return frame.filter(place <= F.lit(bound).cast("long")).orderBy(place, *[F.col(f"`{column}`") for column in by]).limit(limit)
+
+
 def word_array(text: Column) -> Column:
     """Words of a text as an array; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

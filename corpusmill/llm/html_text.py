@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from corpusmill.llm.common import read, ship_package
+from corpusmill.llm.common import hash_sample, read, ship_package
 
 #: Pages the model is fitted on, none longer than so many bytes, and layouts made from each.
 TRAIN_PAGES = 120
@@ -397,7 +397,7 @@ def main_text(source: str, model: TreeModel) -> str:
 def fit_pages(pages: DataFrame) -> TreeModel:
     """Model from a bounded sample of pages, in the order of a hash of page_id and html."""
     usable = pages.select("page_id", "html").filter(F.octet_length("html") <= TRAIN_PAGE_BYTES)
-    rows = usable.orderBy(F.xxhash64("page_id", "html"), "page_id").limit(TRAIN_PAGES).collect()
+    rows = hash_sample(usable, ["page_id", "html"], usable.count(), TRAIN_PAGES).collect()
     return fit([row["html"] for row in rows])
 
 

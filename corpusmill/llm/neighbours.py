@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import read, ship_package, stored
+from corpusmill.llm.common import hash_sample, read, ship_package, stored
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
@@ -228,7 +228,7 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, identity
     rows, scale = classes.agg(F.count("*"), F.max(norm)).first()
     if not rows:
         return spark.createDataFrame([], schema)
-    sampled = classes.select("embedding").orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE_ROWS).toArrow()
+    sampled = hash_sample(classes.select("class_id", "embedding"), ["class_id"], rows, SAMPLE_ROWS).toArrow()
     shared = spark.sparkContext.broadcast(fit(_matrix(sampled.column("embedding").combine_chunks()), float(scale), rows, neighbours))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
