@@ -19,14 +19,13 @@ def missing_templates(requests: DataFrame, templates: DataFrame) -> DataFrame:
     return requests.select("task", "prompt_version").distinct().join(known, ["task", "prompt_version"], "left_anti")
 
 
-def with_template(requests: DataFrame, templates: DataFrame) -> DataFrame:
-    """Requests with the text of their template; a missing template is an error."""
+def with_template(requests: DataFrame, templates: DataFrame, needed: Column | None = None) -> DataFrame:
+    """Requests with the text of their template; a missing template is an error where ``needed``, by default everywhere."""
     known = templates.select("task", F.col("version").alias("prompt_version"), "template")
     found = requests.join(known, ["task", "prompt_version"], "left")
     complaint = F.concat(F.lit("prompt template not found: "), F.col("task"), F.lit("/"), F.col("prompt_version"))
-    return found.withColumn(
-        "template", F.coalesce("template", F.raise_error(complaint).cast("string"))
-    )
+    error = F.raise_error(complaint).cast("string")
+    return found.withColumn("template", F.coalesce("template", error if needed is None else F.when(needed, error)))
 
 
 def gather_context(candidates: DataFrame, *fields: str) -> DataFrame:

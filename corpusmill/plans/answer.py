@@ -28,7 +28,8 @@ def prepare_prompts(
 ) -> DataFrame:
     """Requests with scope, evidence, candidate list, routing decision and prompt.
 
-    Only requests in scope are searched for. Candidate lists are gathered once per request; evidence,
+    Only requests in scope are searched for and need a template; only those with evidence are routed. Others may name
+    versions and providers that do not exist. Candidate lists are gathered once per request; evidence,
     prompt and later the scores read the same list.
     """
     scoped = requests.withColumn("scope", scope_label(F.col("question"), F.col("task")))
@@ -44,11 +45,12 @@ def prepare_prompts(
         F.slice("context", 1, EVIDENCE_DEPTH), lambda c: F.coalesce(c["article_number"] == asked, F.lit(False))
     )
     decision = routing_decision(rules, F.col("task"), F.col("quality_mode"), F.col("prompt_version"))
+    in_scope = F.col("scope.status") == "in_scope"
     return (
-        with_template(scoped, templates)
+        with_template(scoped, templates, in_scope)
         .join(context, "query_id", "left")
         .withColumn("evidence", evidence_label(F.col("question"), F.size("context"), in_top))
-        .withColumn("routing", decision)
+        .withColumn("routing", F.when(in_scope & (F.col("evidence.status") == "sufficient"), decision))
         .withColumn("prompt", prompt_text(F.col("template"), F.col("question"), F.col("context")))
         .drop("template")
     )

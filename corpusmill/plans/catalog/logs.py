@@ -389,7 +389,8 @@ RUN_ROWS_LOG = f"WITH {LOG_ROWS_SQL} SELECT {SHOWN_SQL} FROM log_rows"
 
 
 def _agent_events(spark: SparkSession, folder: str) -> DataFrame:
-    events = inputs.table(spark, folder, "events").filter("event_type = 'signup'")
+    """Every event with the steps a run of that number would have."""
+    events = inputs.table(spark, folder, "events")
     return events.withColumn("steps", F.from_json(F.to_json(_steps()), STEPS))
 
 
@@ -403,7 +404,7 @@ def agent_trace(spark: SparkSession, folder: str) -> DataFrame:
 
 AGENT_TRACE = """WITH steps AS (
   SELECT event_id, value, i, ['retrieve_context', 'answer_question', 'draft_email', 'summarize'][i + 1] AS kind
-  FROM events, unnest(range(event_id % 5)) u(i) WHERE event_type = 'signup'
+  FROM events, unnest(range(event_id % 5)) u(i)
 ),
 both_kinds AS (
   SELECT event_id, i, 0 AS part, CASE kind WHEN 'retrieve_context' THEN 'retrieval.search' WHEN 'answer_question' THEN 'generation.answer'
@@ -461,7 +462,7 @@ RUN_LATENCY = """SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE
 
 def _checked(spark: SparkSession, folder: str) -> DataFrame:
     """Three steps per user turn with what their checks look at."""
-    earlier = earlier_turns(spark, folder)
+    earlier = earlier_turns(spark, folder, EVIDENCE_DEPTH)
     asked = exchanges(spark, folder)
     seen = asked.select("query_id", article_asked(F.col("question")).alias("asked")).join(
         earlier.filter(F.col("rank") <= EVIDENCE_DEPTH), "query_id"
@@ -486,7 +487,7 @@ CHECKED_SQL = f"""{EXCHANGES_SQL},{scope_sql("exchanges")},
 seen AS (
   SELECT s.query_id, any_value(turn) AS turn, any_value(answer) AS answer, any_value(asked) AS asked, any_value(scope_status) AS scope_status,
     any_value(scope_reason) AS scope_reason, count(e.rank) AS n_chunks, coalesce(bool_or(e.article_number = s.asked), false) AS in_top
-  FROM scoped s LEFT JOIN earlier e ON e.query_id = s.query_id GROUP BY 1
+  FROM scoped s LEFT JOIN earlier e ON e.query_id = s.query_id AND e.rank <= 3 GROUP BY 1
 ),
 labelled AS (SELECT *, {EVIDENCE_SQL} FROM seen),
 checked AS (

@@ -13,7 +13,7 @@ from corpusmill.functions.quality import (
     answer_relevance, citation_presence, completeness, content_words, groundedness,
 )
 from corpusmill.functions.routing import fallback_outcome, parse_rules, routing_decision, rule_table
-from corpusmill.operators.evidence import abstention_answer, abstention_reason, label_evidence
+from corpusmill.operators.evidence import EVIDENCE_DEPTH, abstention_answer, abstention_reason, label_evidence
 from corpusmill.operators.experiment import experiment_grid
 from corpusmill.operators.prompts import gather_context, render_prompts
 from corpusmill.operators.retrieve import RetrievalSettings
@@ -56,15 +56,20 @@ def exchanges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def earlier_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """The up to three turns before a user turn as its candidate list, nearest first."""
+def earlier_turns(spark: SparkSession, folder: str, depth: int | None = None) -> DataFrame:
+    """The turns before a user turn as its candidate list, nearest first: all of them, or the nearest ``depth``.
+
+    Evidence looks at the nearest ones only; those are found by their numbers. A prompt holds its whole context, so its length grows
+    with the conversation.
+    """
     turns = inputs.table(spark, folder, "conversations")
-    offered = turns.select(
-        "conv_id", F.col("turn").alias("own_turn"), F.col("text").alias("content"),
-        F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("place"),
-    ).withColumn("turn", F.col("own_turn") + F.col("place"))
+    earlier = turns.select("conv_id", F.col("turn").alias("own_turn"), F.col("text").alias("content"))
     users = turns.filter("role = 'user'").select("conv_id", "turn")
-    found = offered.join(users, ["conv_id", "turn"])
+    if depth is None:
+        found = earlier.join(users, "conv_id").filter("own_turn < turn").withColumn("place", (F.col("turn") - F.col("own_turn")).cast("int"))
+    else:
+        places = F.explode(F.sequence(F.lit(1), F.lit(depth)))
+        found = earlier.withColumn("place", places).withColumn("turn", F.col("own_turn") + F.col("place")).join(users, ["conv_id", "turn"])
     return found.select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
         F.col("place").alias("rank"),
@@ -92,7 +97,7 @@ exchanges AS (
 earlier AS (
   SELECT u.conv_id || ':' || u.turn AS query_id, u.turn - c.turn AS rank, 'conv/' || c.conv_id AS source,
     c.text AS content, nullif(CAST((c.conv_id + c.turn) % 5 AS VARCHAR), '0') AS article_number
-  FROM conversations u JOIN conversations c ON c.conv_id = u.conv_id AND u.turn - c.turn BETWEEN 1 AND 3
+  FROM conversations u JOIN conversations c ON c.conv_id = u.conv_id AND c.turn < u.turn
   WHERE u.role = 'user'
 )"""
 
@@ -132,7 +137,7 @@ SELECT query_id, scope_status, scope_reason FROM scoped"""
 
 
 def evidence_labels(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = label_evidence(exchanges(spark, folder).select("query_id", "question"), earlier_turns(spark, folder))
+    labelled = label_evidence(exchanges(spark, folder).select("query_id", "question"), earlier_turns(spark, folder, EVIDENCE_DEPTH))
     return labelled.select("query_id", F.col("evidence.status").alias("evidence_status"), F.col("evidence.reason").alias("evidence_reason"))
 
 
@@ -140,10 +145,13 @@ EVIDENCE_LABELS = f"""WITH {EXCHANGES_SQL},{scope_sql("exchanges")},
 seen AS (
   SELECT s.query_id, any_value(s.asked) AS asked, count(e.rank) AS n_chunks,
     coalesce(bool_or(e.article_number = s.asked), false) AS in_top
-  FROM scoped s LEFT JOIN earlier e ON e.query_id = s.query_id GROUP BY 1
+  FROM scoped s LEFT JOIN earlier e ON e.query_id = s.query_id AND e.rank <= 3 GROUP BY 1
 )
 SELECT query_id, {EVIDENCE_SQL} FROM seen"""
 
+#: A rule that no request which goes on may meet.
+UNSUPPORTED_RULE = {"legal_qa.unsupported": {"provider": "no such provider"}}
+
 RULES_JSON = """{"legal_qa": {"provider": "OpenAI ", "model": "gpt-4.1", "note": "ignored"},
  "legal_qa.view": {"provider": "openrouter", "fallback_provider": " OPENAI"},
  "legal_qa.error": {},
@@ -358,10 +366,12 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     """User turns answered from the legal corpus: the assistant turn is the first reply, and every
     fourth first call fails."""
     asked = exchanges(spark, folder).withColumn("task", F.lit("legal_qa"))
+    # Requests out of scope name a version and a provider that do not exist; they end before either is looked up.
+    outside = scope_label(F.col("question"), F.col("task"))["status"] != "in_scope"
     requests = asked.select(
         "query_id", "question", "task",
-        F.when(F.col("turn") % 3 == 0, "view").otherwise("click").alias("quality_mode"),
-        F.lit("v1").alias("prompt_version"),
+        F.when(outside, "unsupported").when(F.col("turn") % 3 == 0, "view").otherwise("click").alias("quality_mode"),
+        F.when(outside, "v0").otherwise("v1").alias("prompt_version"),
     )
     call = F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt")
     answers = asked.select("query_id", "conv_id", "turn", "answer", call).select(
@@ -374,7 +384,7 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     )
     settings = RetrievalSettings(mode="lexical", lexical_backend="bm25", stemming=False)
     prepared = prepare_prompts(
-        requests, legal_corpus(spark, folder), templates(spark), rule_table(parse_rules(RULES_JSON)), settings,
+        requests, legal_corpus(spark, folder), templates(spark), rule_table(parse_rules(RULES_JSON) | UNSUPPORTED_RULE), settings,
         modes=("lexical",), backends=("bm25",),
     )
     return assemble_responses(prepared, answers).select(
@@ -438,7 +448,8 @@ FROM decided"""
 def abstentions(spark: SparkSession, folder: str) -> DataFrame:
     """The guardrail part of the answer flow over conversations: candidates are the earlier turns."""
     labelled = label_evidence(
-        exchanges(spark, folder).withColumn("scope", scope_label(F.col("question"), F.col("task"))), earlier_turns(spark, folder)
+        exchanges(spark, folder).withColumn("scope", scope_label(F.col("question"), F.col("task"))),
+        earlier_turns(spark, folder, EVIDENCE_DEPTH),
     )
     reason = abstention_reason(F.col("scope"), F.col("evidence"))
     return labelled.select(
@@ -451,7 +462,7 @@ ABSTENTIONS = f"""WITH {EXCHANGES_SQL},{scope_sql("exchanges")},
 seen AS (
   SELECT s.query_id, any_value(s.asked) AS asked, any_value(scope_status) AS scope_status, any_value(scope_reason) AS scope_reason,
     any_value(answer) AS answer, count(e.rank) AS n_chunks, coalesce(bool_or(e.article_number = s.asked), false) AS in_top
-  FROM scoped s LEFT JOIN earlier e ON e.query_id = s.query_id GROUP BY 1
+  FROM scoped s LEFT JOIN earlier e ON e.query_id = s.query_id AND e.rank <= 3 GROUP BY 1
 ),
 labelled AS (SELECT *, {EVIDENCE_SQL} FROM seen)
 SELECT query_id, scope_status <> 'in_scope' OR evidence_status <> 'sufficient' AS abstained,
