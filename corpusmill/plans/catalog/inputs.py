@@ -8,15 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: File bytes that are worth a task of their own.
+BYTES_PER_PIECE = 512 * 1024
+
 TASKS = ("en", "fr", "de", "es")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; spread over the cores when it comes in fewer pieces than there are cores."""
+    """A table; one of some size that comes in few pieces is spread over as many cores as its bytes are worth."""
     frame = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    pieces = frame.rdd.getNumPartitions()
-    return frame.repartition(cores, frame.columns[0]) if pieces < cores else frame
+    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = min(spark.sparkContext.defaultParallelism, size // BYTES_PER_PIECE)
+    return frame.repartition(wanted, frame.columns[0]) if wanted > frame.rdd.getNumPartitions() else frame
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -162,12 +162,12 @@ SHOWN = (
 SHOWN_SQL = ", ".join(f'"{name}"' for name in SHOWN)
 
 
-def _shown(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), *SHOWN[1:])
+def shown(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), *SHOWN[1:], *more)
 
 
 def run_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(rows_from_tables(spark, folder))
+    return shown(rows_from_tables(spark, folder))
 
 
 RUN_ROWS = f"WITH {TABLE_ROWS_SQL} SELECT {SHOWN_SQL} FROM run_rows"
@@ -190,7 +190,7 @@ def run_filter(spark: SparkSession, folder: str) -> DataFrame:
         {"request_kind": ["query"], "task": [], "quality_mode": ["error", "view"], "retrieval_mode": ["dense", "lexical"]},
         fallback_only=True,
     )
-    return _shown(chosen)
+    return shown(chosen)
 
 
 RUN_FILTER = f"""WITH {TABLE_ROWS_SQL} SELECT {SHOWN_SQL} FROM run_rows
@@ -198,7 +198,7 @@ WHERE request_kind = 'query' AND quality_mode IN ('error', 'view') AND retrieval
 
 
 def run_abstentions(spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(filter_rows(rows_from_tables(spark, folder), {"reranker_model": ["ranker"]}, abstentions_only=True))
+    return shown(filter_rows(rows_from_tables(spark, folder), {"reranker_model": ["ranker"]}, abstentions_only=True))
 
 
 RUN_ABSTENTIONS = f"WITH {TABLE_ROWS_SQL} SELECT {SHOWN_SQL} FROM run_rows WHERE reranker_model = 'ranker' AND guardrail_abstained"
@@ -348,7 +348,7 @@ def log_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_rows_log(spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(run_rows_from_log(log_records(spark, folder)))
+    return shown(run_rows_from_log(log_records(spark, folder)))
 
 
 LOG_ROWS_SQL = f"""{TRACED_SQL},
@@ -528,21 +528,21 @@ SELECT f.query_id, CASE WHEN f.scope_status <> 'in_scope' THEN 'aborted' WHEN f.
 FROM first_end f LEFT JOIN ended e ON e.query_id = f.query_id AND e.pos = f.pos"""
 
 
-def _written_log(spark: SparkSession, folder: str) -> str:
+def written_log(spark: SparkSession, folder: str) -> str:
     path = scratch_folder(spark, "log-lines")
     log_lines(spark, folder).write.text(path)
     return path
 
 
 def stream_log_flatten(spark: SparkSession, folder: str) -> DataFrame:
-    records = stream_log_lines(spark, _written_log(spark, folder), files_per_trigger=3)
+    records = stream_log_lines(spark, written_log(spark, folder), files_per_trigger=3)
     target = scratch_folder(spark, "run-rows")
     append_run_rows(records, target, scratch_folder(spark, "checkpoint")).awaitTermination()
-    return _shown(spark.read.parquet(target))
+    return shown(spark.read.parquet(target))
 
 
 def stream_kpi(spark: SparkSession, folder: str) -> DataFrame:
-    records = stream_log_lines(spark, _written_log(spark, folder), files_per_trigger=3)
+    records = stream_log_lines(spark, written_log(spark, folder), files_per_trigger=3)
     target = scratch_folder(spark, "summary")
     publish_summary(records, "quality_mode", target, scratch_folder(spark, "checkpoint")).awaitTermination()
     return spark.read.parquet(target)

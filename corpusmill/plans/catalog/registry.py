@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans.catalog import corpus, evaluation, logs, requests, retrieval
+from corpusmill.plans.catalog import corpus, evaluation, logs, requests, retrieval, roundtrips
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (corpus, retrieval, requests, evaluation, logs)
+MODULES = (corpus, retrieval, requests, evaluation, logs, roundtrips)
 
 
 def queries() -> dict[str, Query]:

@@ -14,6 +14,7 @@ from corpusmill.operators.lexical_search import bm25_topk, filter_only_topk, fts
 from corpusmill.operators.rerank import rerank
 from corpusmill.operators.retrieve import RetrievalSettings, retrieve, with_chunk_columns
 from corpusmill.plans.catalog import inputs
+from corpusmill.plans.catalog.stem_sql import stems_sql
 from corpusmill.plans.catalog.corpus import stored_legal_chunks
 from corpusmill.plans.catalog.inputs import CHUNKS_SQL, LEGAL_CHUNKS_SQL, QUESTIONS_SQL
 
@@ -53,7 +54,7 @@ def terms_sql(source: str, name: str = "asked_terms") -> str:
 )"""
 
 
-def _worded(folder_question: Column) -> Column:
+def worded(folder_question: Column) -> Column:
     """Benchmark text with article and clause mentions of several kinds."""
     item = F.col("item_id")
     return (
@@ -76,7 +77,7 @@ worded AS (
 
 
 def lexical_query_default(spark: SparkSession, folder: str) -> DataFrame:
-    asked = inputs.table(spark, folder, "benchmark").select("item_id", _worded(F.col("text")).alias("question"))
+    asked = inputs.table(spark, folder, "benchmark").select("item_id", worded(F.col("text")).alias("question"))
     return asked.select(F.col("item_id").cast("string").alias("query_id"), general_query(F.col("question")).alias("q")).select(
         "query_id", "q.tsquery_text", "q.match_text", "q.article_number", "q.clause_number"
     )
@@ -88,7 +89,7 @@ SELECT query_id, nullif(array_to_string(terms, ' | '), '') AS tsquery_text,
 
 
 def lexical_query_domain(spark: SparkSession, folder: str) -> DataFrame:
-    asked = inputs.table(spark, folder, "benchmark").select("item_id", _worded(F.col("text")).alias("question"))
+    asked = inputs.table(spark, folder, "benchmark").select("item_id", worded(F.col("text")).alias("question"))
     return asked.select(F.col("item_id").cast("string").alias("query_id"), legal_query(F.col("question")).alias("q")).select(
         "query_id", "q.tsquery_text", "q.match_text", "q.article_number", "q.clause_number"
     )
@@ -196,6 +197,17 @@ FTS_TOPK = f"""WITH {CHUNKS_SQL},{QUESTIONS_SQL},{terms_sql("questions")},{posti
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM fts_ranked WHERE rank <= {TOP_K}"""
 
 
+_STEMMED_SQL = FTS_SQL.replace("fts_terms", "fts_words", 1).replace("fts_ranked AS", """fts_terms AS (
+  SELECT DISTINCT q.query_id, q.task, q.article_number, q.clause_number, v.term
+  FROM fts_words q JOIN stems s ON s.term = q.term JOIN stems v ON v.stem = s.stem
+  WHERE NOT list_contains(""" + FTS_STOP_SQL + """, v.term)
+),
+fts_ranked AS""", 1)
+_WORDS_SQL = """SELECT term FROM posted UNION SELECT unnest(string_split(term, '-')) FROM (SELECT unnest(terms) AS term FROM asked_terms)"""
+FTS_TOPK_STEMMED = f"""WITH {CHUNKS_SQL},{QUESTIONS_SQL},{terms_sql("questions")},{postings_sql()},{stems_sql(_WORDS_SQL)},{_STEMMED_SQL}
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM fts_ranked WHERE rank <= {TOP_K}"""
+
+
 def _placed_questions(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
     """Questions that name an article, every other one also a clause; optionally without other words."""
     asked = inputs.questions(spark, folder)
@@ -443,7 +455,7 @@ QUERIES = {
     "lexical_query_domain": (lexical_query_domain, LEXICAL_QUERY_DOMAIN),
     "bm25_topk": (bm25_query, BM25_TOPK),
     "fts_topk": (fts_query, FTS_TOPK),
-    "fts_topk_stemmed": (fts_stemmed_query, None),
+    "fts_topk_stemmed": (fts_stemmed_query, FTS_TOPK_STEMMED),
     "metadata_filter_topk": (metadata_filter_query, METADATA_FILTER),
     "filter_only_listing": (filter_only_query, FILTER_ONLY),
     "dense_topk": (dense_query, DENSE_TOPK),
