@@ -44,6 +44,26 @@ class RunningTopK:
         if self.pending_rows > PENDING_ROWS:
             self._reduce()
 
+    def add_pairs(self, query_at: np.ndarray, chunk_ids: np.ndarray, scores: np.ndarray) -> None:
+        """Offer single pairs, at most one of each chunk and query.
+
+        As in ``add``, what reaches neither bar goes at once; a query's ``limit``-th best pair here raises its bar.
+        """
+        keep = scores >= self.bars[query_at]
+        query_at, chunk_ids, scores = query_at[keep], chunk_ids[keep], scores[keep]
+        order = np.lexsort((-scores, query_at))
+        query_at, chunk_ids, scores = query_at[order], chunk_ids[order], scores[order]
+        first = np.nonzero(np.diff(query_at, prepend=-1))[0]
+        enough = np.append(first[1:], len(query_at)) - first >= self.limit
+        full = query_at[first[enough]]
+        self.bars[full] = np.maximum(self.bars[full], scores[first[enough] + self.limit - 1])
+        keep = scores >= self.bars[query_at]
+        if keep.any():
+            self.pending.append(pd.DataFrame({"query": query_at[keep], "chunk_id": chunk_ids[keep], "score": scores[keep]}))
+            self.pending_rows += int(keep.sum())
+        if self.pending_rows > PENDING_ROWS:
+            self._reduce()
+
     def _reduce(self) -> None:
         if not self.pending:
             return

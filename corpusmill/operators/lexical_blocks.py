@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from corpusmill.operators.blocks import SCORED, RunningTopK, by_task, objects, row_blocks
+from corpusmill.operators.blocks import SCORED, RunningTopK, by_task, objects
 from corpusmill.operators.ranking import SCORE_DIGITS
 from corpusmill.session import ship_package
 
@@ -57,37 +57,52 @@ def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(len(lists)), lengths), lengths
 
 
-def _scores(
+#: Query entries of tokens that are added up at a time.
+BLOCK_ENTRIES = 2_000_000
+
+
+def _pairs(
     queries: TaskQueries, words: np.ndarray, rows: np.ndarray, dl: np.ndarray,
     part: Callable[[np.ndarray, np.ndarray], np.ndarray],
-) -> np.ndarray:
-    """Score block of some chunks; minus infinity where nothing matches. ``words`` are vocabulary
-    numbers, one per matching token, ``rows`` the chunk of each."""
-    n, q = len(dl), len(queries.query_ids)
-    pairs, tf = np.unique(rows * len(queries.vocabulary) + words, return_counts=True)
-    row, word = np.divmod(pairs, len(queries.vocabulary))
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, query and score of the pairs that share a word; no others take any room.
+
+    ``words`` are vocabulary numbers, one per matching token, ``rows`` the chunk of each.
+    """
+    seen, tf = np.unique(rows * len(queries.vocabulary) + words, return_counts=True)
+    row, word = np.divmod(seen, len(queries.vocabulary))
     value = part(tf.astype(float), dl[row].astype(float))
     users = queries.first[word + 1] - queries.first[word]
-    entry = np.repeat(queries.first[word] - np.concatenate([[0], np.cumsum(users)[:-1]]), users) + np.arange(users.sum())
-    cell = np.repeat(row, users) * q + queries.query_of[entry]
-    sums = np.bincount(cell, weights=np.repeat(value, users) * queries.weight_of[entry], minlength=n * q)
-    matched = np.zeros(n * q, dtype=bool)
-    matched[cell] = True
-    return np.where(matched, np.round(sums, SCORE_DIGITS), -np.inf).reshape(n, q)
-
-
-def _apply_filters(
-    scores: np.ndarray, queries: TaskQueries, articles: np.ndarray, clause_rows: np.ndarray, clause_values: np.ndarray
-) -> None:
-    """Rule out pairs whose chunk is not of the article or clause the query asks for."""
-    for article in {a for a in queries.articles if a is not None}:
-        columns = np.nonzero(queries.articles == article)[0]
-        scores[np.ix_(articles != article, columns)] = -np.inf
-    for clause in np.unique(queries.clauses[~np.isnan(queries.clauses)]):
-        columns = np.nonzero(queries.clauses == clause)[0]
-        outside = np.ones(len(scores), dtype=bool)
-        outside[clause_rows[clause_values == clause]] = False
-        scores[np.ix_(outside, columns)] = -np.inf
+    entry = np.repeat(queries.first[word] - (np.cumsum(users) - users), users) + np.arange(users.sum())
+    cell, at = np.unique(np.repeat(row, users) * len(queries.query_ids) + queries.query_of[entry], return_inverse=True)
+    sums = np.bincount(at, weights=np.repeat(value, users) * queries.weight_of[entry], minlength=len(cell))
+    row, query = np.divmod(cell, len(queries.query_ids))
+    return row, query, np.round(sums, SCORE_DIGITS)
+
+
+def _accepted(
+    queries: TaskQueries, row: np.ndarray, query: np.ndarray, articles: np.ndarray, clause_row: np.ndarray, clause_value: np.ndarray
+) -> np.ndarray:
+    """Pairs whose chunk is of the article and clause the query asks for."""
+    asked = queries.articles[query]
+    kept = np.array([a is None or a == b for a, b in zip(asked, articles[row])], dtype=bool)
+    clause = queries.clauses[query]
+    placed = ~np.isnan(clause)
+    if placed.any():
+        has = set(zip(clause_row.tolist(), clause_value.tolist()))
+        kept[placed] &= np.fromiter(((r, c) in has for r, c in zip(row[placed].tolist(), clause[placed].tolist())), bool, placed.sum())
+    return kept
+
+
+def _blocks(queries: TaskQueries, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
+    """Token ranges of whole chunks with about BLOCK_ENTRIES query entries each."""
+    if not len(words):
+        return []
+    entries = np.cumsum(queries.first[words + 1] - queries.first[words])
+    block = entries // BLOCK_ENTRIES
+    starts = np.nonzero(np.diff(rows, prepend=-1))[0]  # first token of each chunk
+    cuts = starts[np.nonzero(np.diff(block[starts], prepend=-1))[0]]
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)]))
 
 
 def score_blocks(
@@ -115,13 +130,12 @@ def score_blocks(
             articles = objects(batch.column("article_number"))
             clause, clause_row, _ = _flat(batch.column("clause_number"))
             clause_value = clause.to_numpy(zero_copy_only=False).astype(float)
-        for block in row_blocks(len(ids), len(queries.query_ids)):
-            lower, upper = np.searchsorted(rows, [block.start, block.stop])
-            scores = _scores(queries, words[lower:upper], rows[lower:upper] - block.start, dl[block], part)
+        for lower, upper in _blocks(queries, words, rows):
+            row, query, scores = _pairs(queries, words[lower:upper], rows[lower:upper], dl, part)
             if filtered:
-                inside = (clause_row >= block.start) & (clause_row < block.stop)
-                _apply_filters(scores, queries, articles[block], clause_row[inside] - block.start, clause_value[inside])
-            best.add(scores, ids[block])
+                kept = _accepted(queries, row, query, articles, clause_row, clause_value)
+                row, query, scores = row[kept], query[kept], scores[kept]
+            best.add_pairs(query, ids[row], scores)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {name: RunningTopK(queries.query_ids, limit) for name, queries in handle.value.items()}

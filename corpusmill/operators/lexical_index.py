@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import bind
+from corpusmill.session import fits_broadcast
 
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 
@@ -75,19 +76,24 @@ def term_statistics(chunks: DataFrame, vocabulary: DataFrame | None = None) -> D
     ``WHOLE_CORPUS`` the same of all chunks.
 
     One pass over the text, with counts added up before the shuffle. ``vocabulary(term)`` limits the
-    terms counted.
+    terms counted: up to a checked size it is shipped and other words are dropped where they are read, beyond it
+    sums per word and task are shuffled before it is looked at.
     """
     analyzed = chunks.select(tokens(F.col("content")).alias("_tokens"))
     seen = analyzed.select(
         F.size("_tokens").alias("dl"),
         F.explode(F.array_append(F.array_distinct("_tokens"), F.lit(WHOLE_CORPUS))).alias("term"),
     )
-    if vocabulary is not None:
-        marker = vocabulary.sparkSession.range(1).select(F.lit(WHOLE_CORPUS).alias("term"))
-        seen = seen.join(vocabulary.select("term").distinct().union(marker), "term", "left_semi")
-    return seen.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("dl").cast("bigint").alias("n_tokens")
-    )
+    def counted(found: DataFrame) -> DataFrame:
+        return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").cast("bigint").alias("n_tokens"))
+
+    if vocabulary is None:
+        return counted(seen)
+    marker = vocabulary.sparkSession.range(1).select(F.lit(WHOLE_CORPUS).alias("term"))
+    wanted = vocabulary.select("term").distinct().union(marker)
+    if fits_broadcast(wanted):
+        return counted(seen.join(F.broadcast(wanted), "term", "left_semi"))
+    return counted(seen).join(wanted, "term", "left_semi")
 
 
 def vocabulary(chunks: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from corpusmill.schemas import LOG_RECORD, STEPS
 from corpusmill.session import scratch_folder
 from corpusmill.sources.corpus_store import read_corpus, write_corpus
 from corpusmill.streaming.corpus_stream import replace_from_stream
-from corpusmill.streaming.log_stream import append_run_rows, publish_summary, stream_log_lines
+from corpusmill.streaming.log_stream import append_run_rows, publish_summary, read_summary, stream_log_lines
 
 def _event(stage: str, duration: Column, **metadata: Column) -> Column:
     parts = [part for name, value in metadata.items() for part in (F.lit(name), value.cast("string"))]
@@ -545,7 +545,7 @@ def stream_kpi(spark: SparkSession, folder: str) -> DataFrame:
     records = stream_log_lines(spark, written_log(spark, folder), files_per_trigger=3)
     target = scratch_folder(spark, "summary")
     publish_summary(records, "quality_mode", target, scratch_folder(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(target)
+    return read_summary(spark, target)
 
 
 STREAM_KPI = f"WITH {LOG_ROWS_SQL} SELECT quality_mode, {SUMMARY_SQL} FROM log_rows GROUP BY 1"

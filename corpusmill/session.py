@@ -74,12 +74,19 @@ def fits_broadcast(frame: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return frame.limit(max_rows + 1).count() <= max_rows
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the folder removed by the file system it is on when the driver's JVM ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame written to the shared scratch folder and read back.
 
     For small results that later steps read many times: their plan then starts at files, and an executor
-    loss does not repeat the work behind them.
+    loss does not repeat the work behind them. The files go when the driver ends.
     """
     path = scratch_folder(frame.sparkSession, purpose)
     frame.write.parquet(path)
+    _delete_at_exit(frame.sparkSession, path)
     return frame.sparkSession.read.parquet(path)

@@ -55,11 +55,15 @@ def means_of_sums(sums: DataFrame, dimension: str) -> DataFrame:
 
 
 def publish_summary(records: DataFrame, dimension: str, target: str, checkpoint: str) -> StreamingQuery:
-    """The grouped summary of everything read so far, rewritten after every batch of files."""
+    """The grouped summary of everything read so far, after every batch of files in a folder of that batch.
+
+    ``read_summary`` reads the last one, so readers see a whole summary at any time; a batch that is run again
+    replaces its own folder only.
+    """
     sums = running_sums(run_rows_from_log(records), dimension)
 
-    def publish(batch: DataFrame, _: int) -> None:
-        means_of_sums(batch, dimension).write.mode("overwrite").parquet(target)
+    def publish(batch: DataFrame, number: int) -> None:
+        means_of_sums(batch, dimension).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (
         sums.writeStream.outputMode("complete")
@@ -68,3 +72,9 @@ def publish_summary(records: DataFrame, dimension: str, target: str, checkpoint:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_summary(spark: SparkSession, target: str) -> DataFrame:
+    """The summary of the last batch."""
+    found = spark.read.parquet(target)
+    return found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch")

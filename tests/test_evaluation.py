@@ -301,3 +301,16 @@ def test_harness_and_reports(spark, tmp_path):
     assert [(r.reranker_type, r.mrr, r["hit_rate@1"], r.n_samples) for r in rows] == [("a", 0.5, 1 / 3, 3), ("b", 0.5, 1 / 3, 3)]
     with pytest.raises(ValueError):
         compare_report_files(spark, pattern, "e9", ["mrr"])
+
+
+def test_document_offsets_of_hashed_ids(spark, monkeypatch):
+    from corpusmill.operators import sampling
+
+    monkeypatch.setattr(sampling, "RANGES", 8)
+    frame = spark.range(500).selectExpr("xxhash64(id) AS document_id", "explode(sequence(0, CAST(id % 3 AS int))) AS chunk_index")
+    rows = sampling.document_offsets(frame).orderBy("document_id").collect()
+    before = 0
+    for row in rows:
+        assert (row.offset, row.total) == (before, sum(i % 3 + 1 for i in range(500)))
+        before += row.n_chunks
+    assert len(rows) == 500

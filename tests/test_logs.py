@@ -24,7 +24,7 @@ from corpusmill.sources.corpus_store import (
 from corpusmill.sources.request_log import append_log, append_log_lines, clear_log, read_log_lines, run_rows
 from corpusmill.sources.text_files import read_text_documents
 from corpusmill.streaming.corpus_stream import replace_from_stream
-from corpusmill.streaming.log_stream import append_run_rows, publish_summary, stream_log_lines
+from corpusmill.streaming.log_stream import append_run_rows, publish_summary, read_summary, stream_log_lines
 
 
 def event(stage, ms=0.0, **metadata):
@@ -283,7 +283,7 @@ def test_streams_equal_batch(spark, tmp_path, lines):
     batch = run_rows_from_log(read_log_lines(spark, lines))
     assert sorted(map(repr, spark.read.parquet(target).select(*RUN_COLUMNS).collect())) == sorted(map(repr, batch.collect()))
     publish_summary(stream_log_lines(spark, lines, 1), "quality_mode", str(tmp_path / "sum"), str(tmp_path / "cp2")).awaitTermination()
-    streamed = spark.read.parquet(str(tmp_path / "sum"))
+    streamed = read_summary(spark, str(tmp_path / "sum"))
     wanted = group_summary(batch, "quality_mode").select(*streamed.columns)
     assert sorted(map(repr, streamed.collect())) == sorted(map(repr, wanted.collect()))
 

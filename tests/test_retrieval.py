@@ -307,3 +307,60 @@ def test_embedding_configuration_check(spark):
         validate_config(docs, "b", active)
     with pytest.raises(EmbeddingConfigMismatch, match="active model"):
         validate_config(docs, "a", {**active, "model": "new"})
+
+
+def test_scored_requests_need_a_scorer(spark):
+    candidates = spark.createDataFrame([("x", 1, "c"), ("p", 1, "c")], "query_id string, rank int, chunk_id string")
+    asked = spark.createDataFrame([("x", "?", "cross_encoder"), ("p", "?", None)], "query_id string, question string, reranker_type string")
+    assert [r.query_id for r in rerank(candidates, asked.filter("query_id = 'p'"), None).collect()] == ["p"]
+    with pytest.raises(Exception, match="need a pair scorer"):
+        rerank(candidates, asked, None).collect()
+
+
+def test_pass_through_pairs_are_not_scored(spark):
+    candidates = spark.createDataFrame([(q, i, f"c{i}", f"text {i}") for q in ("x", "p") for i in (1, 2)], "query_id string, rank int, chunk_id string, content string")
+    asked = spark.createDataFrame([("x", "asked", "cross_encoder"), ("p", "kept", None)], "query_id string, question string, reranker_type string")
+
+    def load():
+        def score(pairs):
+            assert all(question == "asked" for question, _ in pairs)
+            return [float(content[-1]) for _, content in pairs]
+
+        return score
+
+    rows = rerank(candidates, asked, model_pair_score(F.col("question"), F.col("content"), load)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.chunk_id, r.rerank_score, r.question) for r in rows] == [
+        ("p", 1, "c1", None, "kept"), ("p", 2, "c2", None, "kept"), ("x", 1, "c2", 2.0, "asked"), ("x", 2, "c1", 1.0, "asked"),
+    ]
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), None])
+def test_vectors_that_are_not_finite_hide_no_neighbour(spark, odd):
+    rows = [("a", "t", [1.0, 0.0]), ("b", "t", [1.0, 1.0]), ("odd", "t", [odd, 1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, task string, embedding array<float>").coalesce(1)
+    queries = spark.createDataFrame([("q", "t", [1.0, 0.0])], "query_id string, task string, query_vector array<float>")
+    assert [r.chunk_id for r in dense_topk(queries, chunks, 1).collect()] == ["a"]
+    assert [r.chunk_id for r in dense_topk(queries, chunks, 3).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_vectors_of_mixed_lengths_are_refused(spark):
+    chunks = spark.createDataFrame([("a", "t", [1.0]), ("b", "t", [1.0, 1.0, 1.0])], "chunk_id string, task string, embedding array<float>").coalesce(1)
+    queries = spark.createDataFrame([("q", "t", [1.0, 0.0])], "query_id string, task string, query_vector array<float>")
+    with pytest.raises(Exception, match="different lengths"):
+        dense_topk(queries, chunks, 1).collect()
+
+
+def test_clause_numbers_out_of_range_list_nothing(spark):
+    chunks = spark.createDataFrame(corpus_rows(), CHUNKS)
+    asked = spark.createDataFrame([("q", "t1", [], None, "99999999999999999999")], QUERIES)
+    assert filter_only_topk(asked, chunks, 4).collect() == []
+
+
+def test_word_lists_beyond_the_bound_give_the_same_statistics(spark, monkeypatch):
+    from corpusmill.operators import lexical_index
+
+    chunks = spark.createDataFrame(corpus_rows(), CHUNKS)
+    wanted = spark.createDataFrame([("alpha",), ("x1",), ("absent",)], "term string")
+    shipped = sorted(map(tuple, term_statistics(chunks, wanted).collect()))
+    monkeypatch.setattr(lexical_index, "fits_broadcast", lambda frame: False)
+    assert sorted(map(tuple, term_statistics(chunks, wanted).collect())) == shipped
