@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from corpusmill.llm.common import fresh, read, ship_package
+from corpusmill.session import fits_broadcast
 
 UNKNOWN = "und"
 #: Texts of which no language has this part are rejected.
@@ -261,7 +262,7 @@ def training_pieces(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> li
     counts = labelled.groupBy("lang").count()
     chance = (F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5).alias("chance")
     # Three times the expected share, then cut exactly by rank among the few that are left.
-    few = labelled.select("lang", "text", chance).join(F.broadcast(counts), "lang").filter(F.col("chance") * F.col("count") < 3 * documents)
+    few = labelled.select("lang", "text", chance).join(F.broadcast(counts) if fits_broadcast(counts) else counts, "lang").filter(F.col("chance") * F.col("count") < 3 * documents)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
