@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import fits_broadcast
+
 NO_CONTEXT = "No relevant context found."
 
 
@@ -22,7 +24,8 @@ def missing_templates(requests: DataFrame, templates: DataFrame) -> DataFrame:
 def with_template(requests: DataFrame, templates: DataFrame, needed: Column | None = None) -> DataFrame:
     """Requests with the text of their template; a missing template is an error where ``needed``, by default everywhere."""
     known = templates.select("task", F.col("version").alias("prompt_version"), "template")
-    found = requests.join(known, ["task", "prompt_version"], "left")
+    # Few templates serve all requests, whose keys are as few.
+    found = requests.join(F.broadcast(known) if fits_broadcast(known) else known, ["task", "prompt_version"], "left")
     complaint = F.concat(F.lit("prompt template not found: "), F.col("task"), F.lit("/"), F.col("prompt_version"))
     error = F.raise_error(complaint).cast("string")
     return found.withColumn("template", F.coalesce("template", error if needed is None else F.when(needed, error)))

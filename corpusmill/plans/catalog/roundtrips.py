@@ -10,12 +10,15 @@ from corpusmill.functions.embedding import embedding_config
 from corpusmill.functions.lexical_query import build_lexical_query, legal_query
 from corpusmill.operators.corpus import plain_chunks
 from corpusmill.operators.embed import model_embedding, stored_configs
+from corpusmill.operators.lexical_search import bm25_topk
 from corpusmill.operators.metrics import sample_metrics
 from corpusmill.operators.pooling import lexical_backends, pool_sources, pooling_record
 from corpusmill.plans.catalog import evaluation, inputs, logs, retrieval
-from corpusmill.plans.catalog.inputs import CHUNKS_SQL, DOCUMENTS_SQL
+from corpusmill.plans.catalog.inputs import CHUNKS_SQL, DOCUMENTS_SQL, QUESTIONS_SQL, cut_sql
 from corpusmill.session import scratch_folder, ship_package
-from corpusmill.sources.corpus_store import find_document, write_corpus
+from corpusmill.sources.corpus_store import (
+    find_document, read_corpus, read_term_tables, replace_in_store, write_corpus, write_term_tables,
+)
 from corpusmill.sources.datasets import read_dataset, read_questions, write_dataset
 from corpusmill.sources.reports import compare_report_files, report_tables, write_report
 from corpusmill.sources.request_log import append_log, clear_log, run_rows
@@ -223,7 +226,32 @@ SELECT document_id AS sample_pos, task AS lang, 3 AS searches,
   || '"candidates_judged":["' || source_path || '"],"judged_relevant":[' || CASE WHEN document_id % 2 = 0 THEN '"' || source_path || '"' ELSE '' END || ']}}' AS record
 FROM docs"""
 
+def stored_term_search(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 over stored term tables after the labelled documents have been replaced by a second version."""
+    docs, labels = inputs.documents(spark, folder), inputs.table(spark, folder, "labels")
+    store, terms = scratch_folder(spark, "store"), scratch_folder(spark, "terms")
+    write_corpus(docs.drop("content"), plain_chunks(docs), store, buckets=4)
+    write_term_tables(read_corpus(spark, store, "chunks"), terms, buckets=8)
+    again = docs.join(labels, F.col("doc_id") == F.col("document_id")).select(*docs.columns).withColumn(
+        "content", F.concat(F.lit("Version 2\n"), F.col("content"))
+    )
+    replace_in_store(spark, store, again.drop("content"), plain_chunks(again), terms)
+    asked = retrieval.lexical_queries(inputs.questions(spark, folder))
+    posted, statistics = read_term_tables(spark, terms, asked.select(F.explode("terms").alias("term")))
+    return retrieval.result(bm25_topk(asked, posted, statistics, retrieval.TOP_K))
+
+
+STORED_TERM_SEARCH = f"""WITH {DOCUMENTS_SQL},
+merged AS (
+  SELECT d.* REPLACE (CASE WHEN l.doc_id IS NULL THEN content ELSE 'Version 2' || chr(10) || content END AS content)
+  FROM docs d LEFT JOIN labels l ON l.doc_id = document_id
+),{cut_sql("merged", "content", 800, 100, "cut")},
+chunks AS (SELECT source_path || '::chunk::' || piece_no AS chunk_id, task, piece AS content FROM cut),
+{QUESTIONS_SQL},{retrieval.terms_sql("questions")},{retrieval.postings_sql()},{retrieval.BM25_SQL}
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm25_ranked WHERE rank <= {retrieval.TOP_K}"""
+
 QUERIES = {
+    "stored_term_search": (stored_term_search, STORED_TERM_SEARCH),
     "text_folder_scan": (text_folder_scan, TEXT_FOLDER_SCAN),
     "document_lookup": (document_lookup, DOCUMENT_LOOKUP),
     "dataset_round_trip": (dataset_round_trip, DATASET_ROUND_TRIP),
