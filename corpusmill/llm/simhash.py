@@ -217,23 +217,33 @@ def near_duplicates(
     )
 
 
-def keep_one(frame: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id, then the smallest text hash; null ids come last.
+def one_of_each(marked: DataFrame, known: DataFrame, mark: str, root: str, identity: str, text: str) -> DataFrame:
+    """The first row of each group: ``known`` gives marks their root, a mark that it lacks is its own.
 
-    All columns are kept. Copies are cut to one per fingerprint and task before they are shuffled, and so are groups.
+    First is the smallest id, then the smallest text hash; null ids come last. Copies are cut to one per mark and task
+    before they are shuffled, and so are groups.
     """
-    mark, root, nth = fresh(frame, "_fingerprint"), fresh(frame, "_root"), fresh(frame, "_nth")
+    nth = fresh(marked, "_nth")
     order = [F.col(f"`{identity}`").asc_nulls_last(), F.xxhash64(F.col(f"`{text}`"))]
-    marked = stored(with_fingerprint(frame, mark, text), "fingerprinted")
-    found = groups(marked.select(F.col(f"`{identity}`").alias("doc_id"), F.col(mark).alias("fingerprint")))
 
     def first_of(rows: DataFrame, key: str) -> DataFrame:
         ranked = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
         return ranked.filter(F.col(nth) == 1).drop(nth)
 
-    distinct = first_of(marked, mark)
+    joined = first_of(marked, mark).join(known, mark, "left").withColumn(root, F.coalesce(F.col(root), F.col(mark)))
+    return first_of(joined, root)
+
+
+def keep_one(frame: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: the one with the smallest id, then the smallest text hash; null ids come last.
+
+    All columns are kept.
+    """
+    mark, root = fresh(frame, "_fingerprint"), fresh(frame, "_root")
+    marked = stored(with_fingerprint(frame, mark, text), "fingerprinted")
+    found = groups(marked.select(F.col(f"`{identity}`").alias("doc_id"), F.col(mark).alias("fingerprint")))
     known = found.select(F.col("fingerprint").alias(mark), F.col("root").alias(root))
-    return first_of(distinct.join(known, mark), root).select(*[F.col(f"`{column}`") for column in frame.columns])
+    return one_of_each(marked, known, mark, root, identity, text).select(*[F.col(f"`{column}`") for column in frame.columns])
 
 
 def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
