@@ -18,7 +18,7 @@ from corpusmill.llm.common import fresh, read, ship_package
 from corpusmill.session import fits_broadcast
 
 UNKNOWN = "und"
-#: Texts of which no language has this part are rejected.
+#: Texts whose words have no language with this probability, on average, are rejected.
 LEAST_SCORE = 0.35
 
 #: Documents per language the model is fitted on, and pieces of PIECE_WORDS words taken from each, spread evenly over it.
@@ -285,12 +285,13 @@ def training_pieces(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> li
 
 
 def identify(frame: DataFrame, model: Field | None, text: str = "text", keep_text: bool = True,
-             added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+             added: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """Adds the predicted language and its score to a frame.
 
     Every word of the whole text is labelled by forward-backward; the language with the largest sum of word
     marginals is the text's, its share of the sum the score. ``und`` and 0 for a null text, one without any
-    letter, or without a model. Columns of the frame named like ``added`` are replaced, all others kept, the text
+    letter, or without a model. A third name in ``added`` gets the mean over words of the largest marginal of each,
+    which stays near 1 for a text that switches between known languages. Columns of the frame named like ``added`` are replaced, all others kept, the text
     only with ``keep_text``.
     """
     spark = frame.sparkSession
@@ -300,15 +301,15 @@ def identify(frame: DataFrame, model: Field | None, text: str = "text", keep_tex
     source = frame.select(*[F.col(f"`{column}`") for column in kept])
     passed = [at for at, column in enumerate(kept) if keep_text or column != text]
     names = [kept[at] for at in passed]
-    schema = StructType([*[source.schema[at] for at in passed], StructField(added[0], StringType()), StructField(added[1], DoubleType())])
+    schema = StructType([*[source.schema[at] for at in passed], StructField(added[0], StringType()), *[StructField(name, DoubleType()) for name in added[1:]]])
     text_at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = _Labeller(shared.value)
         for batch in batches:
-            predicted, scores = label(batch.column(text_at))
+            predicted, *scores = label(batch.column(text_at), certainty=len(added) > 2)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(at) for at in passed], pa.array(predicted, pa.string()), pa.array(scores, pa.float64())],
+                [*[batch.column(at) for at in passed], pa.array(predicted, pa.string()), *[pa.array(found, pa.float64()) for found in scores]],
                 [*names, *added],
             )
 
@@ -343,10 +344,11 @@ class _Labeller:
             memo.update({new[at]: base + k for k, at in enumerate(some)})
         return np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
 
-    def __call__(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    def __call__(self, column: pa.Array, certainty: bool = False) -> tuple[list[str], *tuple[np.ndarray, ...]]:
         rows = len(column)
         if self.model is None:
-            return [UNKNOWN] * rows, np.zeros(rows)
+            return [UNKNOWN] * rows, *[np.zeros(rows)] * (1 + certainty)
+        largest = np.zeros(rows)
         sums = np.zeros((rows, len(self.model.languages)))
         tokens, owners, held = [], [], 0
 
@@ -358,6 +360,8 @@ class _Labeller:
             found = self.model.word_marginals(self.scores[codes[codes >= 0]], owner)
             for at in range(sums.shape[1]):
                 sums[:, at] += np.bincount(owner, found[:, at], rows)
+            if certainty:
+                largest[:] += np.bincount(owner, found.max(axis=1), rows)
             tokens, owners, held = [], [], 0
 
         for row, value in enumerate(column):
@@ -373,7 +377,8 @@ class _Labeller:
         total = sums.sum(axis=1)
         best = sums.argmax(axis=1)
         names = [self.model.languages[k] if n > 0 else UNKNOWN for k, n in zip(best, total)]
-        return names, np.where(total > 0, sums[np.arange(rows), best] / np.maximum(total, 1e-30), 0.0).clip(0, 1)
+        parts = [sums[np.arange(rows), best], *[largest] * certainty]
+        return names, *[np.where(total > 0, part / np.maximum(total, 1e-30), 0.0).clip(0, 1) for part in parts]
 
 
 def held_out(identity: str = "doc_id") -> Column:
@@ -389,10 +394,13 @@ def fit_documents(documents: DataFrame) -> Field | None:
 
 
 def in_known_language(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """Documents with a language: not ``und``, and at least ``least_score`` of the word marginals for one. All columns are kept."""
-    added = (fresh(documents, "_language"), fresh(documents, "_language_score"))
+    """Documents in known languages: not ``und``, and words that have a language with a probability of at least ``least_score`` on average.
+
+    Documents that switch between languages stay, however evenly. All columns are kept.
+    """
+    added = tuple(fresh(documents, name) for name in ("_language", "_language_score", "_language_certainty"))
     found = identify(documents, fit_documents(documents), added=added)
-    return found.filter((F.col(added[0]) != UNKNOWN) & (F.col(added[1]) >= least_score)).drop(*added)
+    return found.filter((F.col(added[0]) != UNKNOWN) & (F.col(added[2]) >= least_score)).drop(*added)
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,6 +83,15 @@ def test_odd_texts_and_clashing_columns(spark, model, documents):
     assert ids >= set(range(300)) and not ids & {1000, 1001, 1002}
 
 
+def test_even_switching_between_languages_is_kept(spark, documents):
+    chance = np.random.default_rng(6)
+    mixed = " ".join(text(language, chance, 12) for language in ("en", "fr", "de") * 4)
+    frame = documents.unionByName(spark.createDataFrame([(1000, mixed, None), (1001, "12 ###", None)], documents.schema))
+    found = {row.doc_id: row for row in identify(frame, fit_documents(frame), added=("lang_pred", "part", "certainty")).collect()}
+    assert found[1000].part < 0.4 and found[1000].certainty > 0.9
+    assert {row.doc_id for row in in_known_language(frame, least_score=0.5).collect()} == set(range(300)) | {1000}
+
+
 def test_labels_of_held_out_documents_are_not_read(spark, documents, tmp_path):
     changed = documents.selectExpr("doc_id", "text", "CASE WHEN crc32(CAST(doc_id AS string)) % 5 = 0 THEN 'xx' ELSE lang END AS lang", "'s' AS source")
     changed.write.parquet(f"{tmp_path}/documents.parquet")
