@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import read, running_sums, stored, word_array
+from corpusmill.llm.common import BLANKS, read, running_sums, stored, word_array
 
 MAX_EPOCHS = 3
 SEED = 8
@@ -82,7 +82,7 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix itself, with the columns of documents: each document as often as it is taken.
 
     Its last copy ends after the words that its source's budget still has, at most one document per source being cut; a cut text
-    has its words joined by blanks, and n_chars, if there is such a column, is that text's. Documents without words go.
+    keeps its lines and blanks up to the last word taken, and n_chars, if there is such a column, is that text's. Documents without words go.
     """
     rows = documents.select(
         F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"),
@@ -91,7 +91,10 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     mixed = mix_sources(rows, "id", "of", "words", "row").filter("taken > 0")
     copies = mixed.select("row", "words", "taken", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("words")))).alias("nth"))
     left = F.col("taken") - F.col("nth") * F.col("words")
-    cut = F.array_join(F.slice(word_array(F.col("row.text")), 1, left.cast("int")), " ")
+    text = F.col("row.text")
+    spaced = F.split(F.ltrim(text, F.lit(BLANKS)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # each word with the blanks behind it
+    before = F.left(text, F.char_length(text) - F.char_length(F.ltrim(text, F.lit(BLANKS))))
+    cut = F.concat(before, F.rtrim(F.array_join(F.slice(spaced, 1, left.cast("int")), ""), F.lit(BLANKS)))
     whole = copies.select("row", F.when(left < F.col("words"), cut).alias("cut"))
     changed = {"text": F.coalesce("cut", "row.text"), "n_chars": F.when(F.col("cut").isNotNull(), F.char_length("cut").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in documents.columns else None}
     return whole.select(*[

@@ -117,6 +117,14 @@ def test_mixed_documents_repeat_and_cut(spark):
     assert all(row.n_chars == (7 if len(row.text.split()) == 4 and "\n" in row.text else len(row.text)) for row in found if row.source == "s0")
 
 
+def test_cut_document_keeps_its_lines(spark):
+    # 47 words by weights 1 and 2: s1 may have 6 at most, so s0 gets 41 of 45 and its last document is cut after 41.
+    text = " \n\x85" + " ".join(f"w{k}\tx\n\n y" for k in range(15)) + " \n"
+    found = mixed_documents(rows_of(spark, [(1, text, "en", "s0", len(text)), (2, "u v", "en", "s1", 3)])).filter("source = 's0'").collect()
+    assert len(found) == 1 and found[0].n_chars == len(found[0].text)
+    assert text.startswith(found[0].text) and "\n\n y" in found[0].text and found[0].text.endswith("w13\tx")
+
+
 def test_empty_tables(spark, tmp_path):
     rows_of(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert op4_balanced_shards(spark, str(tmp_path)).collect() == []
