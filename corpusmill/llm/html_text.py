@@ -58,6 +58,8 @@ class Page:
     #: Node and text; None stands for a break inside the node.
     texts: list[tuple[int, str | None]] = field(default_factory=list)
     links: list[int] = field(default_factory=list)
+    #: The node itself if it is a block, else the block that the inline element lies in.
+    blocks: list[int] = field(default_factory=list)
 
 
 class _Builder(HTMLParser):
@@ -78,7 +80,9 @@ class _Builder(HTMLParser):
         named = " ".join(value or "" for key, value in attributes if key in ("class", "id", "role")).lower()
         page.tokens.append([token.rstrip("s") or token for token in _SPLIT.split(named) if token and not token.isdigit()])
         page.links.append(0)
-        return len(page.tags) - 1
+        node = len(page.tags) - 1
+        page.blocks.append(page.blocks[page.parents[node]] if tag in INLINE else node)
+        return node
 
     def _pop(self) -> None:
         tag, _ = self.open.pop()
@@ -379,7 +383,7 @@ def fit(sources: list[str], seed: int = 9) -> TreeModel:
 def main_text(source: str, model: TreeModel) -> str:
     """Text of the nodes that are content with a probability of at least one half.
 
-    Inline elements join their text, breaks and blocks part it; white space runs become one space.
+    Inline elements join their text, also those that are nodes; breaks and blocks part it; white space runs become one space.
     """
     page = parse_page(source)
     found, _ = model.marginals(page, node_features(page))
@@ -387,10 +391,12 @@ def main_text(source: str, model: TreeModel) -> str:
     last = -1
     for node, text in page.texts:
         if found[node] >= 0.5:
-            if node != last or text is None:
+            if page.blocks[node] != last or text is None:
                 parts.append(" ")
             parts.append(text or "")
-        last = node
+            last = page.blocks[node]
+        else:
+            last = -1  # words on both sides of what is dropped stay apart
     return " ".join("".join(parts).split())
 
 
