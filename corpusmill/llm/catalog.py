@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import chat, html_text, language, lexicon, mixing, neighbours, packing, quality, sharding, simhash, spelling, warc
+from corpusmill.llm import chat, collocations, html_text, language, lexicon, mixing, neighbours, packing, quality, sharding, simhash, spelling, warc
 
 QUERIES = {
     "op1_nearest_vectors": (neighbours.op1_nearest_vectors, None),
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_main_text": (html_text.op9_main_text, None),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
     "op11_spelling_variants": (spelling.op11_spelling_variants, None),
+    "op12_phrases": (collocations.op12_phrases, collocations.OP12_SQL),
     "op13_bpe": (lexicon.op13_bpe, None),
 }
