@@ -169,6 +169,8 @@ UNION ALL SELECT 'reversed.json', round(avg(mrr), 6), round(avg(recall_10), 6) F
 UNION ALL SELECT 'first.json', round(avg(mrr), 6), round(avg(recall_10), 6) FROM first_measured"""
 
 SAMPLES = 100
+#: The harness asks with all chunks of documents whose id is divisible by this.
+HARNESS_DOCUMENTS = 50
 
 
 def bench_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -361,9 +363,10 @@ FROM (SELECT * FROM dense_ranked WHERE rank = 1) d LEFT JOIN judged j ON j.query
 
 
 def eval_harness(spark: SparkSession, folder: str) -> DataFrame:
-    """A sampled benchmark of heuristic questions evaluated with BM25; corpus and samples are stored first."""
+    """Heuristic questions of all chunks of every fiftieth document, asked of all chunks with BM25; corpus and samples are stored first."""
     corpus = stored(chunks(spark, folder), "chunks")
-    built = build_dataset(heuristic_content(evenly_spaced(corpus, SAMPLES)))
+    asked = evenly_spaced(corpus).filter(F.col("document_id") % HARNESS_DOCUMENTS == 0)
+    built = build_dataset(heuristic_content(asked))
     samples = built.select(
         F.col("sample_pos").cast("string").alias("query_id"), "question", "relevant_chunk_ids",
     ).join(
@@ -375,8 +378,9 @@ def eval_harness(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(measured, "query_id", "question").withColumn("n_relevant", F.lit(1))
 
 
-EVAL_HARNESS = f"""WITH {CHUNKS_SQL},{BENCH_SAMPLE_SQL},
-plained AS (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS plain FROM sampled),
+EVAL_HARNESS = f"""WITH {CHUNKS_SQL},
+placed AS (SELECT *, row_number() OVER (ORDER BY document_id, chunk_index) - 1 AS sample_pos FROM chunks),
+plained AS (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS plain FROM placed WHERE document_id % {HARNESS_DOCUMENTS} = 0),
 based AS (SELECT *, 'What does this section say about ' || ({TOPIC_SQL}) || '?' AS base FROM plained),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY sample_pos) AS nth FROM based),
 samples AS (
