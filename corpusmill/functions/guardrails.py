@@ -10,17 +10,16 @@ from corpusmill.functions.text import collapse
 
 # Phrases that place a question inside the legal corpus.
 DOMAIN_TERMS = (
-    "article", "board", "clause", "commission", "coordinator", "coordinators",
-    "digital services act", "dsa", "fine", "fines", "hosting", "illegal content",
-    "intermediary service", "law", "legal", "notice", "paragraph", "platform", "provider",
-    "regulation", "risk assessment", "search engine", "statement of reasons",
-    "terms and conditions", "trusted flagger",
+    "article", "clause", "paragraph", "regulation", "law", "legal", "digital services act", "dsa", "provider",
+    "platform", "search engine", "commission", "coordinator", "coordinators", "board", "fine", "fines",
+    "risk assessment", "notice", "hosting", "intermediary service", "trusted flagger", "statement of reasons",
+    "terms and conditions", "illegal content",
 )
 
 # Phrases of other subjects.
 OFF_TOPIC_TERMS = (
-    "algorithm", "birthday", "debug", "flight", "hotel", "javascript", "lyrics", "movie", "python",
-    "recipe", "restaurant", "song", "sql query", "temperature", "travel plan", "weather",
+    "weather", "temperature", "recipe", "restaurant", "flight", "hotel", "movie", "song", "lyrics",
+    "python", "javascript", "debug", "algorithm", "sql query", "travel plan", "birthday",
 )
 
 SCOPED_TASK = "legal_qa"

@@ -87,6 +87,7 @@ def hierarchy_labels(number: Column, title: Column, clause_numbers: Column) -> C
     )
 
 
+# How a text refers to articles and clauses.
 ARTICLE_REFERENCE = r"(?iU)\bArticles?\s+(\d+[A-Za-z]?)\b"
 CLAUSE_OF_ARTICLE = r"(?iU)\b(?:clause|paragraph)\s+(\d+)\s+of\s+Articles?\s+(\d+[A-Za-z]?)\b"
 CLAUSE_OF_THIS_ARTICLE = r"(?iU)\b(?:clause|paragraph)\s+(\d+)\s+of\s+(?:this|the)\s+Article\b"

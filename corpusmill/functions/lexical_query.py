@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import captured
 
+# How a question names an article and a clause.
 ARTICLE_ASKED = r"(?iU)\barticle\s+(\d+)\b"
 CLAUSE_ASKED = r"(?iU)\b(?:clause|paragraph)\s+(\d+)\b"
 
@@ -25,7 +26,7 @@ LEGAL_BOILERPLATE = (
     r"\bdigital services act\b", r"\bthis regulation\b",
 )
 LEGAL_STOPWORDS = (
-    "a", "act", "an", "and", "article", "by", "clause", "digital", "does", "how", "is", "of",
+    "a", "an", "and", "article", "act", "by", "clause", "digital", "does", "how", "is", "of",
     "paragraph", "regulation", "services", "the", "this", "to", "what", "who",
 )
 
@@ -45,6 +46,7 @@ def clause_asked(question: Column) -> Column:
 def query_terms(question: Column, removed: Sequence[str], stopwords: Sequence[str]) -> Column:
     """Distinct search words in order of appearance."""
     cleaned = F.lower(question)
+    # What is taken out of a question besides its boilerplate.
     for pattern in (*removed, r"\barticle\s+\d+\b", r"\b(?:clause|paragraph)\s+\d+\b"):
         cleaned = F.regexp_replace(cleaned, f"(?U){pattern}", " ")
     cleaned = F.regexp_replace(cleaned, r"(?U)[^a-z0-9\s-]", " ")

@@ -9,9 +9,8 @@ from corpusmill.functions.text import LINE_END, bind
 
 # Short words that never count as fragments of a longer one.
 WHOLE_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "by", "do", "for", "he", "if", "in", "is", "it",
-    "of", "on", "or", "that", "the", "these", "this", "those", "to", "us", "was", "we", "were",
-    "when", "with",
+    "a", "an", "are", "as", "at", "be", "by", "do", "for", "he", "if", "in", "is", "and", "is", "it",
+    "of", "on", "or", "that", "the", "this", "those", "these", "to", "us", "was", "we", "were", "when", "with",
 )
 
 #: Around the core of a token, which runs from its first letter to its last letter or hyphen.

@@ -13,7 +13,7 @@ from corpusmill.functions.pricing import display_cost
 from corpusmill.functions.trace import summarize_trace
 from corpusmill.schemas import QUERY_LOGS
 
-#: Columns of a run row in order.
+# Columns of a run row in order.
 RUN_COLUMNS = (
     "timestamp", "request_kind", "task", "quality_mode", "prompt_version", "agent_run_id",
     "agent_task_type", "instruction", "agent_status", "agent_stop_reason", "agent_step_count",
@@ -26,7 +26,7 @@ RUN_COLUMNS = (
     "provider_generation_id", "cost_is_estimated", "question",
 )
 
-#: Columns of the run log listing.
+# Columns of the run log listing.
 LISTED_COLUMNS = (
     "timestamp", "request_kind", "task", "quality_mode", "prompt_version", "agent_run_id",
     "agent_task_type", "agent_status", "agent_stop_reason", "agent_step_count", "provider", "model",
@@ -38,7 +38,7 @@ LISTED_COLUMNS = (
     "provider_generation_id", "pricing_source", "cost_is_estimated", "instruction", "question",
 )
 
-#: Columns a listing can be filtered on.
+# Columns a listing can be filtered on.
 FILTER_COLUMNS = (
     "request_kind", "task", "quality_mode", "prompt_version", "provider", "model", "retrieval_mode",
     "reranker_type", "reranker_model", "guardrail_scope_status",

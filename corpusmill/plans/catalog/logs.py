@@ -15,7 +15,7 @@ from corpusmill.functions.trace import TRACE_TYPE, summarize_trace
 from corpusmill.operators.corpus import plain_chunks
 from corpusmill.operators.evidence import EVIDENCE_DEPTH
 from corpusmill.operators.runlog import (
-    LISTED_COLUMNS, agent_evaluation_rows, agent_log_rows, filter_options, filter_rows,
+    LISTED_COLUMNS, agent_evaluation_rows, agent_log_rows, agent_run, filter_options, filter_rows,
     run_log, run_rows_from_log, run_rows_from_tables,
 )
 from corpusmill.operators.summaries import (
@@ -214,8 +214,8 @@ FILTER_OPTIONS = f"WITH {TABLE_ROWS_SQL} SELECT DISTINCT retrieval_mode FROM run
 def agent_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of the newest agent request."""
     rows = rows_from_tables(spark, folder)
-    newest = rows.filter("request_kind = 'agent_run'").agg(F.max_by("agent_run_id", "timestamp").alias("agent_run_id"))
-    return rows.filter("request_kind = 'agent_run'").join(newest, "agent_run_id", "left_semi").select("agent_run_id", "agent_status", "question")
+    newest = rows.filter("request_kind = 'agent_run'").agg(F.max_by("agent_run_id", "timestamp")).first()[0]
+    return agent_run(rows, newest).select("agent_run_id", "agent_status", "question")
 
 
 AGENT_LOOKUP = f"""WITH {TABLE_ROWS_SQL} SELECT agent_run_id, agent_status, question FROM run_rows

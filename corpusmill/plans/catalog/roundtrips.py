@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from corpusmill.functions.embedding import embedding_config
 from corpusmill.functions.lexical_query import build_lexical_query, legal_query
 from corpusmill.operators.corpus import plain_chunks
-from corpusmill.operators.embed import model_embedding, stored_configs
+from corpusmill.operators.embed import EmbeddingConfigMismatch, config_outcomes, model_embedding, validate_configs
 from corpusmill.operators.lexical_search import bm25_topk
 from corpusmill.operators.metrics import sample_metrics
 from corpusmill.operators.pooling import lexical_backends, pool_sources, pooling_record
 from corpusmill.plans.catalog import evaluation, inputs, logs, retrieval
 from corpusmill.plans.catalog.inputs import CHUNKS_SQL, DOCUMENTS_SQL, QUESTIONS_SQL, cut_sql
-from corpusmill.session import scratch_folder, ship_package
+from corpusmill.session import scratch_folder, ship_package, stored
 from corpusmill.sources.corpus_store import (
     find_document, read_corpus, read_term_tables, replace_in_store, write_corpus, write_term_tables,
 )
@@ -172,23 +172,33 @@ EMBEDDING_BY_MODEL = f"""WITH {CHUNKS_SQL}
 SELECT chunk_id, (length(content) - length(replace(content, 'a', '')))::INT AS n_a, (length(content) - length(replace(content, 'e', '')))::INT AS n_e FROM chunks"""
 
 
-def config_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """Per task what a check against the active configuration finds: none, fits, differs or several."""
+def checked_configs(spark: SparkSession, folder: str) -> DataFrame:
+    """Per task what a check against the active configuration finds: none, fits, differs or several.
+
+    Tasks without a fault then pass ``validate_configs``, and the others are refused by it.
+    """
     first, other = embedding_config("deterministic", "local", 64), embedding_config("remote", "other", 1024)
     config = (
         F.when(F.col("task") == "en", first).when(F.col("task") == "fr", other)
         .when(F.col("task") == "de", F.when(F.col("document_id") % 2 == 0, first).otherwise(other))
     )
     docs = inputs.documents(spark, folder).withColumn("embedding_config", config)
-    fits = (F.col("provider") == "deterministic") & (F.col("model") == "local") & (F.col("dimensions") == 64)
-    found = stored_configs(docs).groupBy("task").agg(F.count("*").alias("n"), F.bool_and(fits).alias("fits"))
-    outcome = F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "several").when(F.col("fits"), "fits").otherwise("differs")
-    return docs.select("task").distinct().join(found, "task", "left").select("task", outcome.alias("outcome"))
+    active = {"provider": "deterministic", "model": "local", "dimensions": 64}
+    outcomes = stored(config_outcomes(docs, active), "config-outcomes")
+    good = F.col("outcome").isin("none", "fits")
+    validate_configs(docs, outcomes.filter(good), active)
+    refused = False
+    try:
+        validate_configs(docs, outcomes.filter(~good), active)
+    except EmbeddingConfigMismatch:
+        refused = True
+    return outcomes.withColumn("refused", ~good & F.lit(refused))
 
 
 CONFIG_OUTCOMES = f"""WITH {DOCUMENTS_SQL},
 found AS (SELECT DISTINCT task, CASE WHEN task = 'en' OR (task = 'de' AND document_id % 2 = 0) THEN 1 ELSE 2 END AS config FROM docs WHERE task <> 'es')
-SELECT task, CASE WHEN count(config) = 0 THEN 'none' WHEN count(config) > 1 THEN 'several' WHEN min(config) = 1 THEN 'fits' ELSE 'differs' END AS outcome
+SELECT task, CASE WHEN count(config) = 0 THEN 'none' WHEN count(config) > 1 THEN 'several' WHEN min(config) = 1 THEN 'fits' ELSE 'differs' END AS outcome,
+  coalesce(count(config) > 1 OR min(config) = 2, false) AS refused
 FROM (SELECT DISTINCT task FROM docs) LEFT JOIN found USING (task) GROUP BY task"""
 
 
@@ -261,7 +271,7 @@ QUERIES = {
     "cleared_history": (cleared_history, CLEARED_HISTORY),
     "report_files": (report_files, REPORT_FILES),
     "embedding_by_model": (embedding_by_model, EMBEDDING_BY_MODEL),
-    "config_outcomes": (config_outcomes, CONFIG_OUTCOMES),
+    "config_outcomes": (checked_configs, CONFIG_OUTCOMES),
     "builder_dispatch": (builder_dispatch, BUILDER_DISPATCH),
     "pooling_records": (pooling_records, POOLING_RECORDS),
 }
