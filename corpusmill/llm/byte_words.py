@@ -27,8 +27,11 @@ def _marked(which: bytes) -> np.ndarray:
     return table
 
 
-def split_words(texts: pa.Array, blanks: bytes = BLANK_BYTES, marks: bytes = b"") -> Words:
-    """Maximal runs of bytes that are neither ``blanks`` nor ``marks``, both ASCII. Null texts are empty, empty ones have no words."""
+def split_words(texts: pa.Array, blanks: bytes = BLANK_BYTES, marks: bytes = b"", after_letter: bytes = b"") -> Words:
+    """Maximal runs of bytes that are neither ``blanks`` nor ``marks``, both ASCII. Null texts are empty, empty ones have no words.
+
+    A byte of ``after_letter`` behind an ASCII letter begins a word of its own.
+    """
     texts = texts.fill_null("").cast(pa.large_string())
     rows = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + rows + 1] if rows else np.zeros(1, np.int64)
@@ -38,11 +41,14 @@ def split_words(texts: pa.Array, blanks: bytes = BLANK_BYTES, marks: bytes = b""
     inside = _marked(blanks + marks)[data] == 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
+    if after_letter:
+        letter = (data[:-1] | 32) - np.uint8(97) < 26
+        begins[1:] |= _marked(after_letter)[data[1:]] & letter
     row_starts = starts_row[starts_row < len(data)]
     begins[row_starts] = inside[row_starts]  # a word never goes on from the text before
     start = np.flatnonzero(begins)
     ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
+    ends[:-1] &= begins[1:] | ~inside[1:]
     cuts = row_starts[row_starts > 0] - 1
     ends[cuts] = inside[cuts]
     # Without what is between them, words are consecutive slices.

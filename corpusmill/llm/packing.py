@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from corpusmill.llm.byte_words import split_words
 from corpusmill.llm.common import read, running_sums, ship_package, stored
+from corpusmill.llm.merges import ChunkEncoder, ids_of_words, row_blocks
 
 CAPACITY = 2048
 END_ID = 0
@@ -30,125 +31,17 @@ PRICING_ROUNDS = 400
 #: Hash ranges in which pieces of one length are numbered.
 RANK_RANGES = 1024
 
-#: Tokens of words a task remembers before it starts anew, and words turned into pieces at a time.
-MEMO_WORDS = 400_000
-BLOCK_WORDS = 50_000
-ENCODED = 1_000
+#: Marks that end a letter run; each behind a letter is a token apart, so words are split there before different ones are looked for.
+WORD_ENDS = b".,;:!?"
 
-#: Texts with these are encoded as they are: letters whose case or form depends on neighbours, control blanks, special tokens.
-_WHOLE = re.compile(r"[^\x00-ɏ]|[\x1c-\x1f\x85\xa0]|<\|")
 
-
-def _printable_bytes() -> dict[int, int]:
-    """Byte to the character that stands for it in byte-level vocabularies: itself if printable, else 256 and on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [byte for byte in range(256) if byte not in set(shown)]
-    return {byte: byte for byte in shown} | {byte: 256 + at for at, byte in enumerate(hidden)}
-
-
-_PRINTABLE = _printable_bytes()
-
-
-class WordEncoder:
-    """Token ids of whole texts.
-
-    The tokenizer drops white space and treats words apart, so a text's ids are those of its blank-separated words one
-    after the other; words are encoded once and remembered.
-    """
-
-    #: The encoder of this worker process; later tasks find the words that earlier ones met.
-    shared: dict[int, WordEncoder] = {}
-
-    @classmethod
-    def of(cls, model: str) -> WordEncoder:
-        """The process's encoder for a tokenizer file's content."""
-        key = zlib.crc32(model.encode())
-        if key not in cls.shared:
-            cls.shared = {key: cls(model)}
-        return cls.shared[key]
-
-    def __init__(self, model: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(model)
-        self.model = self.tokenizer.model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.pool = np.zeros(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for at in range(0, len(texts), ENCODED):  # encodings are large, so few at a time
-            out += [found.ids for found in self.tokenizer.encode_batch_fast(texts[at : at + ENCODED], add_special_tokens=False)]
-        return out
-
-    def _remember(self, words: list[str], ids: list[np.ndarray | list[int]]) -> None:
-        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words))))
-        ends = self.first[-1] + np.cumsum([len(found) for found in ids], dtype=np.int64)
-        self.pool = np.concatenate([self.pool, *[np.array([i for found in ids for i in found], np.uint32)]])
-        self.first = np.concatenate([self.first, ends])
-
-    def _ids(self, word: str) -> np.ndarray:
-        code = self.memo[word]
-        return self.pool[self.first[code] : self.first[code + 1]]
-
-    def _letter_ids(self, word: str) -> list[int]:
-        """Ids of a lower-case letter run: the tokenizer's model alone, on bytes in their printable form."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_PRINTABLE)
-        return [token.id for token in self.model.tokenize(word)]
-
-    def _codes(self, words: list[str]) -> np.ndarray:
-        new = set(words).difference(self.memo)
-        if new and len(self.memo) + 2 * len(new) > MEMO_WORDS:
-            self._forget()
-            new = set(words)
-        if new:
-            # A letter run and the marks after it are tokens of their own; only what is new of them is encoded.
-            cores = {word: core for word in new if (core := word.rstrip(".,")).isalpha()}
-            fresh = list(set(cores.values()).difference(self.memo))
-            self._remember(fresh, [self._letter_ids(core) for core in fresh])
-            rest = (new - cores.keys()) | {word[len(core) :] for word, core in cores.items() if word != core}
-            rest = list(rest.difference(self.memo))
-            self._remember(rest, self._encode(rest))
-            joined = [word for word, core in cores.items() if word != core]
-            self._remember(joined, [np.concatenate([self._ids(cores[word]), self._ids(word[len(cores[word]) :])]) for word in joined])
-        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-
-    def blocks(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """Runs of consecutive texts: number of the first one and the ids of each."""
-        at, words, counts = 0, [], []
-        for row, text in enumerate(texts):
-            text = text or ""
-            if _WHOLE.search(text):
-                yield at, self._words(words, counts)
-                yield row, [np.array(self._encode([text])[0], np.uint32)]
-                at, words, counts = row + 1, [], []
-                continue
-            parts = text.lower().split()
-            words += parts
-            counts.append(len(parts))
-            if len(words) >= BLOCK_WORDS:
-                yield at, self._words(words, counts)
-                at, words, counts = row + 1, [], []
-        yield at, self._words(words, counts)
-
-    def _words(self, words: list[str], counts: list[int]) -> list[np.ndarray]:
-        codes = self._codes(words)
-        sizes = self.first[codes + 1] - self.first[codes]
-        ends = np.cumsum(sizes)
-        place = np.repeat(self.first[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        cuts = np.concatenate([[0], ends])[np.cumsum(counts)[:-1]] if counts else []
-        return np.split(self.pool[place], cuts) if counts else []
-
-
-def ids_crc32(ids: np.ndarray) -> int:
-    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit numbers."""
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def ids_of_texts(encoder: ChunkEncoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other and their number per text. Each different word of the texts is encoded once."""
+    if not pc.any(pc.match_substring(texts, "<|"), min_count=0).as_py():
+        texts = pc.ascii_lower(texts)  # strings like special tokens must keep their case
+    found = split_words(texts, after_letter=WORD_ENDS)
+    coded = found.words.dictionary_encode()
+    return ids_of_words(found, coded.indices.to_numpy(), *encoder.chunks(coded.dictionary.to_pylist()))
 
 
 def token_pieces(frame: DataFrame, tokenizer_path: str, identity: str = "doc_id", text: str = "text",
@@ -168,21 +61,20 @@ def token_pieces(frame: DataFrame, tokenizer_path: str, identity: str = "doc_id"
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(model.value)
+        encoder = ChunkEncoder.of(model.value)
         for batch in batches:
-            texts = (value.as_py() for value in batch.column("text"))
-            for first, found in encoder.blocks(texts):
-                if not found:
-                    continue
-                sizes = np.array([len(ids) + 1 for ids in found])
+            for first, rows in row_blocks(batch.column("text")):
+                ids, sizes = ids_of_texts(encoder, batch.column("text").slice(first, rows))
+                flat = np.insert(ids.astype("<u4"), np.cumsum(sizes), end_id)
+                sizes = sizes + 1
                 pieces = -(-sizes // capacity)
-                owner = np.repeat(np.arange(len(found)), pieces)
+                owner = np.repeat(np.arange(rows), pieces)
                 number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = number * capacity
                 length = np.minimum(sizes[owner] - start, capacity)
-                flat = np.concatenate([part for ids in found for part in (ids, [end_id])]).astype(np.uint32)
                 ends = np.cumsum(length)
-                marks = [ids_crc32(flat[b - n : b]) for b, n in zip(ends, length)]
+                raw = memoryview(flat).cast("B")
+                marks = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), length.tolist())]
                 columns = [batch.column("doc_id").take(pa.array(first + owner)), pa.array(number.astype(np.int32)), pa.array(start),
                            pa.array(length), pa.array(marks, pa.int64())]
                 if with_ids:

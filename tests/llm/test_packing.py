@@ -7,11 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.llm.packing import TOKENIZER, WordEncoder, op3_packed_sequences, pack, plan_packing, sequences, token_pieces
+from corpusmill.llm.merges import ChunkEncoder
+from corpusmill.llm.packing import TOKENIZER, ids_of_texts, op3_packed_sequences, pack, plan_packing, sequences, token_pieces
 
 PATH = public_tokenizers.path(TOKENIZER)
 TEXTS = [
@@ -26,12 +28,11 @@ def test_ids_are_the_tokenizers(spark):
     given = TEXTS + [" ".join("".join(chance.choices(letters, k=chance.randrange(1, 9))) for _ in range(200)) for _ in range(30)]
     tokenizer = Tokenizer.from_file(PATH)
     with open(PATH, encoding="utf-8") as file:
-        encoder = WordEncoder(file.read())
-    got = [None] * len(given)
-    for first, found in encoder.blocks(given):
-        for at, ids in enumerate(found):
-            got[first + at] = ids.tolist()
-    assert got == [tokenizer.encode(text or "", add_special_tokens=False).ids for text in given]
+        encoder = ChunkEncoder(file.read())
+    for texts in (given, [text for text in given if "<|" not in (text or "")], [None, ""], []):
+        ids, sizes = ids_of_texts(encoder, pa.array(texts, pa.string()))
+        got = [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+        assert got == [tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
 
 
 def check_plan(counts, capacity):
