@@ -6,6 +6,7 @@ import html
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -32,8 +33,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split()
 )
-#: Elements whose text is never shown as text of the page.
-SILENT = frozenset("head script style title template noscript iframe object svg math".split())
+#: Elements whose text is never shown as text of the page; a title is one outside of the body.
+SILENT = frozenset("head script style template".split())
+#: Formulas and drawings: all elements inside belong to the line that they lie in.
+FOREIGN = frozenset("math svg".split())
 IN_HEAD = frozenset("head title meta link base script style noscript template".split())
 #: A start tag closes an open element of the set, unless one of the bounds lies between.
 CLOSES = {
@@ -68,12 +71,17 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.page = Page()
-        self.open: list[tuple[str, int]] = []
-        self.silent = self.links = 0
-        self._node("#page", [])
-        self.open.append(("#page", 0))
-
-    def _node(self, tag: str, attributes: list[tuple[str, str | None]]) -> int:
+        #: Tag, node, and whether it is part of a line.
+        self.open: list[tuple[str, int, bool]] = []
+        #: Places of open elements by tag, of bounds and of all that are no part of a line: looked up instead of walked to.
+        self.places: dict[str, list[int]] = {}
+        self.bounds: list[int] = [0]
+        self.solid: list[int] = []
+        self.silent = self.links = self.foreign = 0
+        self._node("#page", False, [])
+        self._push("#page", 0, False)
+
+    def _node(self, tag: str, inline: bool, attributes: list[tuple[str, str | None]]) -> int:
         page = self.page
         page.parents.append(self.open[-1][1] if self.open else -1)
         page.tags.append(tag)
@@ -81,50 +89,69 @@ class _Builder(HTMLParser):
         page.tokens.append([token.rstrip("s") or token for token in _SPLIT.split(named) if token and not token.isdigit()])
         page.links.append(0)
         node = len(page.tags) - 1
-        page.blocks.append(page.blocks[page.parents[node]] if tag in INLINE else node)
+        page.blocks.append(page.blocks[page.parents[node]] if inline else node)
         return node
 
-    def _pop(self) -> None:
-        tag, _ = self.open.pop()
-        self.silent -= tag in SILENT
-        self.links -= tag == "a"
+    def _push(self, tag: str, node: int, inline: bool) -> None:
+        at = len(self.open)
+        self.open.append((tag, node, inline))
+        self.places.setdefault(tag, []).append(at)
+        if tag in BOUNDS:
+            self.bounds.append(at)
+        if not inline:
+            self.solid.append(at)
+        self.silent += self._hides(tag, at)
+        self.links += tag == "a"
+        self.foreign += tag in FOREIGN
+
+    def _hides(self, tag: str, at: int) -> bool:
+        return tag in SILENT or tag == "title" and self.open[at - 1][0] in ("#page", "html", "head")
+
+    def _pop_to(self, place: int) -> None:
+        """Closes all elements from the place on; each is closed once, so a page takes time in proportion to its length."""
+        while len(self.open) > place:
+            at = len(self.open) - 1
+            tag, _, inline = self.open[at]
+            self.silent -= self._hides(tag, at)
+            self.open.pop()
+            self.places[tag].pop()
+            if tag in BOUNDS:
+                self.bounds.pop()
+            if not inline:
+                self.solid.pop()
+            self.links -= tag == "a"
+            self.foreign -= tag in FOREIGN
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.page.texts.append((self.open[-1][1], None))
         if tag in VOID:
             return
-        if tag not in IN_HEAD and any(name == "head" for name, _ in self.open):
-            while self.open[-1][0] != "head":
-                self._pop()
-            self._pop()
-        closes = CLOSES.get(tag, ())
-        if closes:
-            for at in range(len(self.open) - 1, 0, -1):
-                name = self.open[at][0]
-                if name in closes:
-                    while len(self.open) > at:
-                        self._pop()
-                elif name in BOUNDS:
-                    break
+        if tag not in IN_HEAD and not self.foreign and self.places.get("head"):
+            self._pop_to(self.places["head"][-1])
+        # The outermost open element it closes, if no bound lies between.
+        found = [places[k] for name in CLOSES.get(tag, ()) if (places := self.places.get(name))
+                 and (k := bisect_right(places, self.bounds[-1])) < len(places)]
+        if found:
+            self._pop_to(max(min(found), 1))
         named = any(key in ("class", "id", "role") for key, _ in attrs)
-        node = self.open[-1][1] if tag in INLINE and not named else self._node(tag, attrs)
-        self.open.append((tag, node))
-        self.silent += tag in SILENT
-        self.links += tag == "a"
+        inline = tag in INLINE or tag in FOREIGN or self.foreign > 0
+        node = self.open[-1][1] if inline and not named else self._node(tag, inline, attrs)
+        self._push(tag, node, inline)
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.open[at][0]
-            if name == tag:
-                while len(self.open) > at:
-                    self._pop()
-                return
-            if tag in INLINE and name not in INLINE or tag == "p" and name in BOUNDS:
-                return
+        places = self.places.get(tag)
+        if not places:
+            return
+        at = places[-1]
+        if tag in INLINE and self.solid[-1] > at or tag == "p" and self.bounds[-1] > at:
+            return
+        self._pop_to(at)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if self.foreign and tag not in FOREIGN:
+            self.handle_endtag(tag)  # only there a slash closes an element
 
     def handle_data(self, data: str) -> None:
         if not self.silent and data:
@@ -236,13 +263,13 @@ def _share(value: float) -> float:
     return 1 / (1 + math.exp(-value)) if value > -700 else 0.0
 
 
-# The layouts pages are made of for training. Every text of the first list is boilerplate, of the second content.
+#: The layouts pages are made of for training. Every text of the first list is boilerplate, of the second content.
 NAMES = {
     "menu": ("nav", "div menu", "div navbar", "ul nav", "div breadcrumbs", "div navigation", "div toolbar", "div pagination", "div tags"),
     "header": ("header", "div header", "div site-header", "div banner", "div topbar", "div masthead", "div logo"),
     "footer": ("footer", "div footer", "div site-footer", "div copyright", "div bottom", "div credits"),
     "side": ("aside", "div sidebar", "div related", "div widget", "div recommended", "section trending", "div popular", "div author-box"),
-    "notice": ("div notice", "div cookie-banner", "div alert", "div popup", "div newsletter", "div consent", "div subscribe", "div modal", "div disclaimer", "div warning"),
+    "notice": ("div notice", "div cookie-banner", "div alert", "div popup", "div newsletter", "div consent", "div subscribe", "div modal", "div disclaimer", "div warning", "noscript"),
     "advert": ("div ad", "div ads", "div advert", "div advertisement", "div sponsored", "div promo", "section promotion", "aside sponsor", "p ad"),
     "form": ("form", "form search", "div login", "form signup", "fieldset", "div search-box"),
     "comments": ("section comments", "div comments", "div comment-list", "ol commentlist", "div reader-comments", "div responses", "div replies", "div discussion"),
@@ -305,7 +332,9 @@ def make_layout(sentences: list[str], chance: np.random.Generator) -> str:
             return f"<blockquote><p>{some(5, 30)}</p></blockquote>"
         if kind < 0.94:
             return f'<p>{some(4, 20)} <a href="#">{some(1, 3)}</a> {some(4, 20)}</p>'
-        if kind < 0.97:
+        if kind < 0.955:
+            return pick(("<noscript>{}</noscript>", "<object>{}</object>", "<iframe>{}</iframe>")).replace("{}", pick((some(3, 30), f"<p>{some(3, 30)}</p>")))
+        if kind < 0.98:
             return f"<figure><figcaption>{some(3, 12)}</figcaption></figure>"
         return f"<table><tr><th>{some(1, 3)}</th><td>{some(1, 6)}</td></tr></table>"
 
@@ -408,11 +437,15 @@ def fit_pages(pages: DataFrame) -> TreeModel:
 
 
 def extract(frame: DataFrame, model: TreeModel, source: str = "html", name: str = "text") -> DataFrame:
-    """Adds the main text; a null or empty page has the empty text. ``source`` itself is left out, ``name`` is replaced."""
+    """Adds the main text; a null or empty page has the empty text. ``source`` itself is left out, ``name`` is replaced.
+
+    All other columns are kept. Repeated rows are pages like any other, pages of any length and depth take time in proportion
+    to their length, an empty table gives no rows.
+    """
     spark = frame.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [column for column in frame.columns if column not in (source, name)]
+    kept = [column for column in frame.columns if column.lower() not in (source.lower(), name.lower())]
     chosen = frame.select(*[F.col(f"`{column}`") for column in kept], F.col(f"`{source}`"))
     schema = StructType([*chosen.schema[:-1], StructField(name, StringType())])
 

@@ -83,6 +83,40 @@ def test_malformed_pages(model):
     assert tree.tags == ["#page", "head", "title", "p", "li", "li"] and label_nodes(tree, 0) == [0] * 6
 
 
+def test_deep_pages_take_time_in_proportion_to_their_length(model):
+    import time
+
+    started = time.perf_counter()
+    for source in ("<div><b>" * 25_000, "<b>" * 50_000, "<p><b>" * 25_000, "<head>" + "<i>" * 30_000 + "<p>" * 20_000, "<svg>" * 50_000,
+                   "<div><b>" * 20_000 + "</b></div>" * 20_000):
+        one = time.perf_counter()
+        parse_page(source)
+        assert time.perf_counter() - one < 2 or time.perf_counter() - started > 60
+    assert isinstance(main_text("<div><b>x" * 5_000, model), str)
+
+
+def test_closing_follows_the_innermost_open_element():
+    tags = lambda source: list(zip(parse_page(source).tags, parse_page(source).parents))
+    assert tags("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == [("#page", -1), ("ul", 0), ("li", 1), ("ul", 2), ("li", 3), ("li", 3), ("li", 1)]
+    assert tags("<p>a<div>b</p>c</div>") == [("#page", -1), ("p", 0), ("div", 0)]
+    assert tags("<table><tr><td>a<td>b<tr><td>c</table><p>d") == [("#page", -1), ("table", 0), ("tr", 1), ("td", 2), ("td", 2), ("tr", 1), ("td", 5), ("p", 0)]
+    assert tags("<div><b>x<p>y</b>z</div>w<p>v") == [("#page", -1), ("div", 0), ("p", 1), ("p", 0)]
+
+
+def test_formulas_drawings_and_fallbacks_of_an_article_stay(model):
+    body = (
+        "<article><h1>A title of things</h1><p>The formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, and it is of some length.</p>"
+        "<p>A drawing <svg viewBox='0 0 1 1'><title>of</title><text>a label</text><path d='M0'/></svg> tells about things, and it is of some length.</p>"
+        "<noscript><p>Sentence that tells about things without scripts, and it is of some length.</p></noscript>"
+        "<object><p>Sentence that tells about an object, and it is of some length.</p></object><template>gone</template><p>End of it.</p></article>"
+    )
+    source = f"<html><head><title>T</title></head><body><nav><ul><li><a href=#>Home</a></li></ul></nav>{body}<footer>&copy; site words here.</footer></body></html>"
+    assert main_text(source, model) == (
+        "A title of things The formula x=1 holds, and it is of some length. A drawing ofa label tells about things, and it is of some length. "
+        "Sentence that tells about things without scripts, and it is of some length. Sentence that tells about an object, and it is of some length. End of it."
+    )
+
+
 def test_pages_of_a_table(spark, tmp_path, model):
     rows = [(at, f"u{at}", page(at)) for at in range(20)] + [(None, None, None), (5, "again", ""), (5, "again", "")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -92,6 +126,8 @@ def test_pages_of_a_table(spark, tmp_path, model):
     found = got.collect()
     assert len(found) == len(rows) and all(row.n_chars == len(row.text) for row in found) and sum(row.text == "" for row in found) == 3
     assert extract(frame, model).columns == ["page_id", "url", "text"]
+    assert extract(frame.drop("text").withColumn("TEXT", F.lit("clash")), model).columns == ["page_id", "url", "text"]
+    assert len({row.text for row in found if row.page_id == 5 and row.url == "again"}) == 1
     frame.limit(0).drop("text").write.parquet(f"{tmp_path}/none/pages.parquet")
     assert op9_main_text(spark, f"{tmp_path}/none").collect() == []
 
