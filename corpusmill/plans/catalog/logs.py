@@ -21,12 +21,13 @@ from corpusmill.operators.runlog import (
 from corpusmill.operators.summaries import (
     DIMENSIONS, HEADLINE_DIGITS, MEANS, RATES, all_group_summaries, group_summary, shown_headline,
 )
-from corpusmill.plans.catalog import inputs
-from corpusmill.plans.catalog.inputs import DOCUMENTS_SQL, cut_sql
+from corpusmill.plans.catalog import inputs, retrieval
+from corpusmill.plans.catalog.inputs import DOCUMENTS_SQL, QUESTIONS_SQL, cut_sql
 from corpusmill.plans.catalog.requests import EVIDENCE_SQL, exchanges, EXCHANGES_SQL, earlier_turns, scope_sql
 from corpusmill.schemas import LOG_RECORD, STEPS
 from corpusmill.session import scratch_folder
 from corpusmill.sources.corpus_store import read_corpus, write_corpus
+from corpusmill.sources.stored_search import bounded_bm25
 from corpusmill.streaming.corpus_stream import replace_from_stream
 from corpusmill.streaming.log_stream import append_run_rows, publish_summary, read_summary, stream_log_lines
 
@@ -573,6 +574,34 @@ merged AS (
 ),{cut_sql("merged", "content", 800, 100, "cut")}
 SELECT source_path || '::chunk::' || piece_no AS chunk_id, piece AS content FROM cut"""
 
+
+def stream_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents arrive in three batches, the newest version in the first and an older one in the last; then BM25 over the stored terms."""
+    docs = inputs.documents(spark, folder)
+    store, inbox, checkpoint = (scratch_folder(spark, name) for name in ("store", "inbox", "checkpoint"))
+    write_corpus(docs.drop("content"), plain_chunks(docs), store, buckets=4, terms=4)
+    arriving = docs.join(inputs.table(spark, folder, "labels"), F.col("doc_id") == F.col("document_id")).select(*docs.columns)
+    for number in (3, 1, 2):
+        # The last batch also brings what no other has.
+        some = arriving if number != 3 else arriving.filter("document_id % 3 <> 0")
+        text = F.concat(F.lit(f"Version {number}\n"), F.col("content"))
+        some.withColumn("content", text).withColumn("version", F.lit(number)).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
+        replace_from_stream(stream, store, checkpoint).awaitTermination()
+    asked = retrieval.lexical_queries(inputs.questions(spark, folder))
+    return retrieval.result(bounded_bm25(asked, spark, store, retrieval.TOP_K).found)
+
+
+STREAM_SEARCH = f"""WITH {DOCUMENTS_SQL},
+merged AS (
+  SELECT d.* REPLACE (CASE WHEN l.doc_id IS NULL THEN content WHEN document_id % 3 = 0 THEN 'Version 2' || chr(10) || content
+    ELSE 'Version 3' || chr(10) || content END AS content)
+  FROM docs d LEFT JOIN labels l ON l.doc_id = document_id
+),{cut_sql("merged", "content", 800, 100, "cut")},
+chunks AS (SELECT source_path || '::chunk::' || piece_no AS chunk_id, task, piece AS content FROM cut),
+{QUESTIONS_SQL},{retrieval.terms_sql("questions")},{retrieval.postings_sql()},{retrieval.BM25_SQL}
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm25_ranked WHERE rank <= {retrieval.TOP_K}"""
+
 QUERIES = {
     "trace_summary": (trace_summary, TRACE_SUMMARY),
     "run_rows": (run_rows, RUN_ROWS),
@@ -592,5 +621,6 @@ QUERIES = {
     "run_latency": (run_latency, RUN_LATENCY),
     "stream_log_flatten": (stream_log_flatten, RUN_ROWS_LOG),
     "stream_kpi": (stream_kpi, STREAM_KPI),
+    "stream_search": (stream_search, STREAM_SEARCH),
     "stream_replace": (stream_replace, STREAM_REPLACE),
 }

@@ -16,12 +16,11 @@ from corpusmill.operators.pooling import lexical_backends, pool_sources, pooling
 from corpusmill.plans.catalog import evaluation, inputs, logs, retrieval
 from corpusmill.plans.catalog.inputs import CHUNKS_SQL, DOCUMENTS_SQL, QUESTIONS_SQL, cut_sql
 from corpusmill.session import scratch_folder, ship_package, stored
-from corpusmill.sources.corpus_store import (
-    find_document, read_corpus, read_term_tables, replace_in_store, write_corpus, write_term_tables,
-)
+from corpusmill.sources.corpus_store import find_document, read_term_tables, replace_in_store, write_corpus
 from corpusmill.sources.datasets import read_dataset, read_questions, write_dataset
 from corpusmill.sources.reports import compare_report_files, report_tables, write_report
 from corpusmill.sources.request_log import append_log, clear_log, run_rows
+from corpusmill.sources.stored_search import bounded_bm25
 from corpusmill.sources.text_files import read_text_documents
 
 
@@ -236,21 +235,31 @@ SELECT document_id AS sample_pos, task AS lang, 3 AS searches,
   || '"candidates_judged":["' || source_path || '"],"judged_relevant":[' || CASE WHEN document_id % 2 = 0 THEN '"' || source_path || '"' ELSE '' END || ']}}' AS record
 FROM docs"""
 
-def stored_term_search(spark: SparkSession, folder: str) -> DataFrame:
-    """BM25 over stored term tables after the labelled documents have been replaced by a second version."""
+def _replaced_store(spark: SparkSession, folder: str) -> str:
+    """A corpus with term tables whose labelled documents have been replaced by a second version."""
     docs, labels = inputs.documents(spark, folder), inputs.table(spark, folder, "labels")
-    store, terms = scratch_folder(spark, "store"), scratch_folder(spark, "terms")
-    write_corpus(docs.drop("content"), plain_chunks(docs), store, buckets=4)
-    write_term_tables(read_corpus(spark, store, "chunks"), terms, buckets=8)
+    store = scratch_folder(spark, "store")
+    write_corpus(docs.drop("content"), plain_chunks(docs), store, buckets=4, terms=8)
     again = docs.join(labels, F.col("doc_id") == F.col("document_id")).select(*docs.columns).withColumn(
         "content", F.concat(F.lit("Version 2\n"), F.col("content"))
     )
-    replace_in_store(spark, store, again.drop("content"), plain_chunks(again), terms)
+    replace_in_store(spark, store, again.drop("content"), plain_chunks(again))
+    return store
+
+
+def stored_term_search(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 over the stored postings of a base and of a segment that replaced the labelled documents."""
     asked = retrieval.lexical_queries(inputs.questions(spark, folder))
-    posted, statistics = read_term_tables(spark, terms, asked.select(F.explode("terms").alias("term")))
+    posted, statistics = read_term_tables(spark, _replaced_store(spark, folder), asked.select(F.explode("terms").alias("term")))
     return retrieval.result(bm25_topk(asked, posted, statistics, retrieval.TOP_K))
 
 
+def bounded_term_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows from blocks that can reach a query's bar."""
+    asked = retrieval.lexical_queries(inputs.questions(spark, folder))
+    return retrieval.result(bounded_bm25(asked, spark, _replaced_store(spark, folder), retrieval.TOP_K).found)
+
+
 STORED_TERM_SEARCH = f"""WITH {DOCUMENTS_SQL},
 merged AS (
   SELECT d.* REPLACE (CASE WHEN l.doc_id IS NULL THEN content ELSE 'Version 2' || chr(10) || content END AS content)
@@ -261,6 +270,7 @@ chunks AS (SELECT source_path || '::chunk::' || piece_no AS chunk_id, task, piec
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM bm25_ranked WHERE rank <= {retrieval.TOP_K}"""
 
 QUERIES = {
+    "bounded_term_search": (bounded_term_search, STORED_TERM_SEARCH),
     "stored_term_search": (stored_term_search, STORED_TERM_SEARCH),
     "text_folder_scan": (text_folder_scan, TEXT_FOLDER_SCAN),
     "document_lookup": (document_lookup, DOCUMENT_LOOKUP),

@@ -19,7 +19,7 @@ from corpusmill.operators.runlog import (
 from corpusmill.operators.summaries import all_group_summaries, group_summary, headline
 from corpusmill.schemas import STEPS
 from corpusmill.sources.corpus_store import (
-    find_document, read_corpus, read_term_tables, replace_in_store, write_corpus, write_term_tables,
+    find_document, read_corpus, read_term_tables, replace_in_store, write_corpus,
 )
 from corpusmill.sources.request_log import append_log, append_log_lines, clear_log, read_log_lines, run_rows
 from corpusmill.sources.text_files import read_text_documents
@@ -259,7 +259,8 @@ def test_term_tables(spark, tmp_path):
         "chunk_id string, task string, content string, article_number string, clause_number array<bigint>",
     )
     folder = str(tmp_path / "terms")
-    write_term_tables(chunks, folder)
+    stored = chunks.withColumn("source_path", F.col("chunk_id"))
+    write_corpus(stored.select("task", "source_path"), stored, folder, terms=8)
     asked = spark.createDataFrame([("q", "t", ["beta", "word7"], None, None)], "query_id string, task string, terms array<string>, article_number string, clause_number string")
     posted, statistics = read_term_tables(spark, folder, asked.select(F.explode("terms").alias("term")))
     direct = bm25_topk(asked, analyzed(chunks), term_statistics(chunks), 5).orderBy("rank").collect()
