@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import read, ship_package, stored
-from corpusmill.session import scratch_folder
+from corpusmill.session import fits_broadcast, scratch_folder
 
 #: Record bytes after which a frame is closed, and bundle bytes after which a file is.
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
+#: Record bytes a task reads back.
+READ_BYTES = 1 << 23
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
 
@@ -36,10 +38,10 @@ RECORD_NAME = "urn:corpusmill:page:"
 INDEX = "page_id long, file string, frame int, frame_start long, offset long, bytes long"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record: a response, or a revisit of ``refers_to`` without the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC record: a response, or a revisit of ``refers_to`` without the payload, whose size is given."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http if refers_to is not None else http + (payload or b"")
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{RECORD_NAME}{page_id}>",
         f"WARC-Date: {RECORD_DATE}", f"WARC-Payload-Digest: sha256:{digest}",
@@ -131,19 +133,29 @@ def read_record(path: str, frame: int, offset: int) -> tuple[dict[str, str], byt
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and refers_to (null for a response).
+    """page_id, url, html, digest, size and refers_to (null for a response).
 
     Of pages with equal payloads of at least REVISIT_BYTES bytes the smallest page_id is stored. Its repeated rows are responses
-    too, and a group with null ids only has responses only; other rows with a null id are revisits.
+    too, and a group with null ids only has responses only; other rows with a null id are revisits. Columns other than
+    page_id, url and html are not read, an empty table gives no rows. html is null for a revisit.
+
+    Ids, digests and sizes alone decide. As long as the repeated digests are few enough to be sent to all tasks, payloads stay in the task
+    that reads them; beyond that they are spread by page_id and digest, so that no task gets all rows of one payload.
     """
     content = F.coalesce("html", F.lit(""))
     given = pages.select("page_id", "url", content.alias("html"), F.sha2(content.cast("binary"), 256).alias("digest"))
-    # Only ids and digests are counted; rows of one digest are added up before the shuffle.
-    groups = given.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(
-        F.min("page_id").alias("_first"), F.count("*").alias("_rows")
-    ).filter("_rows > 1").select("digest", "_first")
-    refers = F.when(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return given.join(groups, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    sizes = given.select("page_id", "digest", F.octet_length("html").alias("_bytes")).filter(F.col("_bytes") >= REVISIT_BYTES)
+    groups = stored(sizes.groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_rows")).filter(
+        "_rows > 1 AND _first IS NOT NULL").select("digest", "_first"), "warc-repeats")
+    if fits_broadcast(groups):
+        joined = given.join(F.broadcast(groups), "digest", "left")  # payloads stay where they are read
+    else:
+        decided = sizes.select("page_id", "digest").distinct().join(groups, "digest")
+        joined = given.join(decided, (given["page_id"].eqNullSafe(decided["page_id"])) & (given["digest"] == decided["digest"]), "left").select(
+            given["*"], "_first")
+    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    return joined.select("page_id", "url", F.when(~F.coalesce(revisit, F.lit(False)), F.col("html")).alias("html"), "digest",
+                         F.octet_length("html").cast("long").alias("size"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
@@ -171,8 +183,8 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             rows = {key: [] for key in ("page_id", "file", "frame", "frame_start", "offset", "bytes")}
             for at in range(batch.num_rows):
-                page_id, url, html, digest, refers_to = (batch.column(c)[at].as_py() for c in range(5))
-                data = record(page_id, url, html.encode(), digest, refers_to)
+                page_id, url, html, digest, size, refers_to = (batch.column(c)[at].as_py() for c in range(6))
+                data = record(page_id, url, (html or "").encode(), size, digest, refers_to)
                 if writer is None:
                     name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{files:04d}.warc.zst"
                     writer, files = BundleWriter(store.open_output_stream(f"{base}/{name}", compression=None)), files + 1
@@ -186,13 +198,14 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
         if writer is not None:
             writer.close()
 
-    return stored(pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, INDEX), "warc-index")
+    return stored(pages.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(run, INDEX), "warc-index")
 
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     """Every record of the indexed files: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Frames are dealt to tasks one by one, found by the seek tables. A response's digest is computed from its payload and must be the one in its
+    Frames are dealt to tasks in the order of files and frames, about READ_BYTES of records to each, and found by the seek tables,
+    which a task reads once per file. A response's digest is computed from its payload and must be the one in its
     header; a revisit gives the size and digest its headers have and a null payload.
     """
     ship_package(index.sparkSession)
@@ -205,10 +218,15 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
         def number(name: str | None) -> int | None:
             return None if name is None or name == f"<{RECORD_NAME}None>" else int(name[len(RECORD_NAME) + 1 : -1])
 
+        opened, file, table = None, None, []
         for batch in batches:
             for name, frame in zip(batch.column("file").to_pylist(), batch.column("frame").to_pylist()):
-                with store.open_input_file(f"{base}/{name}") as file:
-                    data = read_frame(file, *seek_table(file)[frame])
+                if name != opened:
+                    if file is not None:
+                        file.close()
+                    opened, file = name, store.open_input_file(f"{base}/{name}")
+                    table = seek_table(file)
+                data = read_frame(file, *table[frame])
                 rows = []
                 for _, headers, block in parse_records(data):
                     head, payload = block.split(b"\r\n\r\n", 1)
@@ -222,9 +240,13 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                         number(headers.get("WARC-Refers-To")), payload if response else None,
                     ))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        if file is not None:
+            file.close()
 
-    frames = index.select("file", "frame").distinct()
-    return frames.mapInArrow(
+    frames = stored(index.groupBy("file", "frame").agg(F.sum("bytes").alias("bytes")), "warc-frames")
+    tasks = -(-(frames.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES)
+    dealt = frames.repartitionByRange(max(tasks, 1), "file", "frame").sortWithinPartitions("file", "frame")
+    return dealt.select("file", "frame").mapInArrow(
         run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     )
 

@@ -61,6 +61,28 @@ def test_bundles_are_seekable_zstandard(spark, tmp_path):
     assert {row.payload for row in read_bundles(index, target).collect()} == {html.encode() for _, _, html in rows}
 
 
+def test_payloads_follow_decisions_on_both_ways(spark, tmp_path, monkeypatch):
+    from corpusmill.llm import warc
+
+    frame = spark.createDataFrame([(*row, "x", 1) for row in ODD_PAGES], PAGES + ", size string, refers_to int")
+    want = sorted(map(tuple, with_revisits(frame).fillna(-1, ["page_id"]).collect()), key=repr)
+    assert all((html is None) == (refers is not None) for _, _, html, _, _, refers in want)
+    monkeypatch.setattr(warc, "fits_broadcast", lambda frame: False)
+    assert sorted(map(tuple, with_revisits(frame).fillna(-1, ["page_id"]).collect()), key=repr) == want
+
+
+def test_frames_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from corpusmill.llm import warc
+
+    monkeypatch.setattr(warc, "READ_BYTES", 200_000)
+    rows = [(at, f"http://x/{at}", f"<p>{at}</p>" * 1500) for at in range(200)]
+    target = f"{tmp_path}/archive"
+    index = write_bundles(with_revisits(spark.createDataFrame(rows, PAGES).repartition(2)), target)
+    found = read_bundles(index, target).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(row.page_id for row in found) == list(range(200))
+    assert len({row.task for row in found}) >= 8
+
+
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     assert op7_warc_bundles(spark, str(tmp_path)).collect() == []
