@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import hash_sample, read, ship_package, stored
+from corpusmill.session import fits_broadcast
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
@@ -27,6 +28,12 @@ LEAF_ROWS = 512
 LEAF_SAMPLE = 16
 #: Rows of a leaf that one task compares with the leaf's queries at once.
 CHUNK_ROWS = 20_000
+#: Query vectors that one task compares with a chunk: a leaf asked by more is compared in several tasks.
+QUERY_BLOCK = 50_000
+#: Rows down to which a chunk is cut inside its task; parts beyond a query's reach are not compared with it.
+PART_ROWS = 1024
+#: Queries with one vector from which on they are joined where they are read.
+HOT_QUERIES = 100_000
 #: Cells (rows times queries) of a score block.
 BLOCK_CELLS = 2_000_000
 
@@ -162,8 +169,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _scan(rows: pa.Table, queries: pa.Table, limit: int) -> pa.Table:
-    """A leaf's best rows for each of its queries: at most ``limit``, none below the query's bar."""
+def _parts(lifted: np.ndarray, units: np.ndarray, reach: float, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of a chunk's rows, each with the queries that reach it: the tree goes on inside the chunk, so leaves stay small in any table."""
+    chance = np.random.default_rng(seed)
+    waiting = [(np.arange(len(lifted)), np.arange(len(units)))]
+    while waiting:
+        rows, asked = waiting.pop()
+        if not len(asked):
+            continue
+        if len(rows) <= PART_ROWS:
+            yield rows, asked
+            continue
+        plane = chance.normal(size=lifted.shape[1])
+        plane /= np.linalg.norm(plane)
+        along = lifted[rows] @ plane
+        cut = float(np.median(along))
+        right = along > cut
+        if not right.any() or right.all():
+            yield rows, asked
+            continue
+        margin = units[asked] @ plane - cut
+        waiting += [(rows[~right], asked[margin <= reach]), (rows[right], asked[-margin <= reach])]
+
+
+def _scan(rows: pa.Table, queries: pa.Table, limit: int, forest: Forest) -> pa.Table:
+    """A chunk's best rows for each of its queries: of each part that a query reaches at most ``limit``, none below the query's bar.
+
+    A query with an open bar belongs to the leaf and is compared with all of the chunk, so that it is never short of rows.
+    """
     schema = pa.schema([("query_class", pa.int64()), ("class_id", pa.int64()), ("score", pa.float64())])
     if not rows.num_rows or not queries.num_rows:
         return schema.empty_table()
@@ -172,18 +205,36 @@ def _scan(rows: pa.Table, queries: pa.Table, limit: int) -> pa.Table:
     ids, vectors = ids[order], _matrix(rows.column("embedding").combine_chunks())[order]
     asked, bars = queries.column("query_class").to_numpy(), queries.column("bar").to_numpy()
     wanted = _matrix(queries.column("embedding").combine_chunks())
-    out = []
-    for at in range(0, len(asked), max(1, BLOCK_CELLS // len(ids))):
-        some = slice(at, at + max(1, BLOCK_CELLS // len(ids)))
-        scores = wanted[some] @ vectors.T
-        bar = bars[some]
-        if len(ids) > limit:
-            bar = np.maximum(bar, np.partition(scores, len(ids) - limit, axis=1)[:, len(ids) - limit])
-        query, row = np.nonzero(scores >= bar[:, None])
-        out.append(pa.Table.from_arrays([pa.array(asked[some][query]), pa.array(ids[row]), pa.array(scores[query, row])], schema=schema))
+    own = np.isneginf(bars)
+    work = [(np.arange(len(ids)), np.flatnonzero(own))]
+    if not own.all():
+        units = np.column_stack([wanted / np.linalg.norm(wanted, axis=1, keepdims=True), np.zeros(len(wanted))])
+        others = np.flatnonzero(~own)
+        seed = int(rows.column("leaf")[0].as_py()) + 1
+        work += [(part, others[asking]) for part, asking in _parts(forest.lift(vectors), units[others], forest.reach, seed)]
+    out = [schema.empty_table()]
+    for part, asking in work:
+        step = max(1, BLOCK_CELLS // len(part))
+        for at in range(0, len(asking), step):
+            some = asking[at : at + step]
+            scores = wanted[some] @ vectors[part].T
+            bar = bars[some]
+            if len(part) > limit:
+                bar = np.maximum(bar, np.partition(scores, len(part) - limit, axis=1)[:, len(part) - limit])
+            query, row = np.nonzero(scores >= bar[:, None])
+            out.append(pa.Table.from_arrays([pa.array(asked[some[query]]), pa.array(ids[part[row]]), pa.array(scores[query, row])], schema=schema))
     return pa.concat_tables(out)
 
 
+def _joined(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join with a side that has each key once. Keys with HOT_QUERIES rows or more are few; theirs are joined where they are read."""
+    hot = stored(many.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= HOT_QUERIES).select(key), "hot-keys")
+    if hot.isEmpty() or not fits_broadcast(hot, HOT_QUERIES):
+        return many.join(one, key)
+    few = F.broadcast(hot)
+    return many.join(F.broadcast(one.join(few, key, "left_semi")), key).unionByName(many.join(few, key, "left_anti").join(one, key))
+
+
 def usable(vectors: DataFrame, identity: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id and embedding of the rows that take part.
 
@@ -204,7 +255,7 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, identity
 
     Equal vectors are one class with its ``neighbours`` + 1 smallest ids: no result needs more of them, so a vector that a third of the rows
     share costs one comparison. All classes are put into the leaves of all trees; each class that holds a query is sent to the
-    leaves its search names; a leaf's rows and queries meet in one task, a large leaf's rows in several. A query's bar, its
+    leaves its search names; a leaf's rows and queries meet in one task, those of a large leaf, in chunks and blocks, in several. A query's bar, its
     ``neighbours`` + 1st best score in the sample, keeps rows that cannot count from being sent on. Repeated ids with equal vectors count
     once. Ties go to the smaller vec_id.
     """
@@ -220,7 +271,7 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, identity
         "vector-classes",
     )
     asking = stored(
-        good.filter(is_query(F.col("vec_id"))).join(classes.select("embedding", "class_id"), "embedding").select(
+        _joined(good.filter(is_query(F.col("vec_id"))), classes.select("embedding", "class_id"), "embedding").select(
             F.col("vec_id").alias("query_id"), F.col("class_id").alias("query_class")
         ), "vector-queries",
     )
@@ -231,17 +282,20 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, identity
     sampled = hash_sample(classes.select("class_id", "embedding"), ["class_id"], rows, SAMPLE_ROWS).toArrow()
     shared = spark.sparkContext.broadcast(fit(_matrix(sampled.column("embedding").combine_chunks()), float(scale), rows, neighbours))
 
+    blocks = max(1, -(-asking.select("query_class").distinct().count() // QUERY_BLOCK))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in batches:
             lifted = forest.lift(_matrix(batch.column("embedding")))
             ids = batch.column("class_id").to_numpy()
-            chunk = pa.array((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % forest.chunks)
+            chunk = np.repeat((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % forest.chunks, blocks)
+            block, copied = np.tile(np.arange(blocks), len(ids)), pa.array(np.repeat(np.arange(len(ids)), blocks))
             for at, tree in enumerate(forest.trees):
-                leaf = pa.array(forest.leaves(lifted, tree))
+                leaf = np.repeat(forest.leaves(lifted, tree), blocks)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), at)), leaf, chunk, batch.column("class_id"), batch.column("embedding")],
-                    ["tree", "leaf", "chunk", "class_id", "embedding"],
+                    [pa.array(np.full(len(leaf), at)), pa.array(leaf), pa.array(chunk), pa.array(block), batch.column("class_id").take(copied), batch.column("embedding").take(copied)],
+                    ["tree", "leaf", "chunk", "block", "class_id", "embedding"],
                 )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,21 +317,22 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, identity
                 ]
                 row, at, leaf, chunk = np.array([place[:4] for place in places], np.int64).reshape(-1, 4).T
                 bar, chosen = np.array([place[4] for place in places], np.float64), pa.array(first + row)
+                asked = batch.column("query_class").take(chosen)
+                spread = (asked.to_numpy().astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)).astype(np.int64) % blocks
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at), pa.array(leaf), pa.array(chunk), batch.column("query_class").take(chosen), pa.array(bar),
-                     batch.column("embedding").take(chosen)],
-                    ["tree", "leaf", "chunk", "query_class", "bar", "embedding"],
+                    [pa.array(at), pa.array(leaf), pa.array(chunk), pa.array(spread), asked, pa.array(bar), batch.column("embedding").take(chosen)],
+                    ["tree", "leaf", "chunk", "block", "query_class", "bar", "embedding"],
                 )
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    where = ["tree", "leaf", "chunk"]
-    index = classes.select("class_id", "embedding").mapInArrow(place, f"tree long, leaf long, chunk long, class_id long, embedding {kind}")
+    where = ["tree", "leaf", "chunk", "block"]
+    index = classes.select("class_id", "embedding").mapInArrow(place, f"tree long, leaf long, chunk long, block long, class_id long, embedding {kind}")
     query_classes = classes.join(asking.select(F.col("query_class").alias("class_id")).distinct(), "class_id", "left_semi").select(
         F.col("class_id").alias("query_class"), "embedding"
     )
-    asked = query_classes.mapInArrow(ask, f"tree long, leaf long, chunk long, query_class long, bar double, embedding {kind}")
+    asked = query_classes.mapInArrow(ask, f"tree long, leaf long, chunk long, block long, query_class long, bar double, embedding {kind}")
     met = index.groupBy(*where).cogroup(asked.groupBy(*where)).applyInArrow(
-        lambda left, right: _scan(left, right, limit), "query_class long, class_id long, score double"
+        lambda left, right: _scan(left, right, limit, shared.value), "query_class long, class_id long, score double"
     )
     # A row met in several trees counts once.
     once = met.groupBy("query_class", "class_id").agg(F.max("score").alias("score"))
@@ -288,7 +343,7 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, identity
         F.transform("ids", lambda vec_id: F.struct((-F.col("score")).alias("worse"), vec_id.alias("vec_id")))
     )).alias("found"))
     others = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))
-    return asking.join(lists, "query_class").select(
+    return _joined(asking, lists, "query_class").select(
         "query_id", F.posexplode(F.slice(F.sort_array(others), 1, neighbours))
     ).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.worse")).alias("score"))
 

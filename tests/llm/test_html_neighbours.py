@@ -146,10 +146,13 @@ def search(spark, rows, schema="vec_id long, embedding array<float>", **more):
     return found
 
 
-def test_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 1000)
-    monkeypatch.setattr(neighbours, "LEAF_ROWS", 64)
-    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 40)
+@pytest.mark.parametrize("sizes", [
+    {"SAMPLE_ROWS": 1000, "LEAF_ROWS": 64, "CHUNK_ROWS": 40},
+    {"SAMPLE_ROWS": 200, "LEAF_SAMPLE": 50, "LEAF_ROWS": 64, "CHUNK_ROWS": 500, "PART_ROWS": 40, "QUERY_BLOCK": 60, "HOT_QUERIES": 1},
+])
+def test_recall_and_exact_scores(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(neighbours, name, value)
     chance = np.random.default_rng(2)
     centres = chance.normal(size=(30, 16))
     vectors = (centres[chance.integers(30, size=3000)] + 0.5 * chance.normal(size=(3000, 16))) * chance.uniform(0.5, 2, size=(3000, 1))
