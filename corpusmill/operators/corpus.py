@@ -9,6 +9,7 @@ from corpusmill.functions.chunking import check_sizes, chunk_count, chunk_id, fi
 from corpusmill.functions.legal import CHUNK_METADATA_TYPE, legal_chunks, legal_units, normalize_legal_text
 from corpusmill.functions.line_repair import repair_lines
 from corpusmill.functions.text import strip, word_count
+from corpusmill.session import stored
 
 #: Pages per step of the two-step running sum in ``chunk_pages``.
 PAGES_PER_BUCKET = 1024
@@ -46,7 +47,7 @@ def chunk_pages(pages: DataFrame, size: int = 800, overlap: int = 100) -> DataFr
     check_sizes(size, overlap)
     step = size - overlap
     bucket = F.floor(F.col("page_no") / PAGES_PER_BUCKET)
-    parts = (
+    repaired = (
         pages.filter(F.col("text").rlike(r"(?U)\S"))
         .select("source_path", "page_no", repair_lines(strip(F.col("text"))).alias("text"))
         .select(
@@ -55,6 +56,8 @@ def chunk_pages(pages: DataFrame, size: int = 800, overlap: int = 100) -> DataFr
         )
         .withColumn("length", F.char_length("text"))
     )
+    # Lengths and texts are both read from here, so lines are repaired once.
+    parts = stored(repaired, "repaired-pages")
     whole = Window.partitionBy("source_path")
     earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

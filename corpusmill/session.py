@@ -9,9 +9,12 @@ from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: Rows a side may have before it is no longer broadcast.
+#: Rows a side may have before it is no longer broadcast, and the bytes of these rows.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 256 << 20
 
 
 def build_session(app_name: str = "corpusmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -69,9 +72,22 @@ def ship_package(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
-def fits_broadcast(frame: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame holds at most ``max_rows`` rows; reads no further than that bound."""
-    return frame.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(frame: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the frame holds at most ``max_rows`` rows of at most ``max_bytes`` together; reads no further than that number of rows.
+
+    Long values are counted as they are, all others with eight bytes each.
+    """
+    size = F.lit(0).cast("bigint")
+    for field in frame.schema:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            size += F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            size += F.lit(8)
+    rows, held = frame.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return rows <= max_rows and (held or 0) <= max_bytes
 
 
 def _delete_at_exit(spark: SparkSession, path: str) -> None:

@@ -299,3 +299,48 @@ def test_stream_replaces_documents(spark, tmp_path):
     assert contents(spark, folder) == {
         "s0::chunk::0": "text 0", "s1::chunk::0": "late", "s2::chunk::0": "text 2", "s3::chunk::0": "text 3", "s8::chunk::0": "fresh",
     }
+
+
+def test_summary_stays_whole_over_batches_failures_and_compaction(spark, tmp_path, monkeypatch):
+    from corpusmill.streaming import log_stream
+
+    monkeypatch.setattr(log_stream, "MOST_CHANGES", 2)
+    inbox, target, checkpoint = tmp_path / "lines", str(tmp_path / "sum"), str(tmp_path / "cp")
+    inbox.mkdir()
+
+    def publish():
+        log_stream.publish_summary(stream_log_lines(spark, str(inbox), 1), "quality_mode", target, checkpoint).awaitTermination()
+
+    def wanted():
+        batch = run_rows_from_log(read_log_lines(spark, str(inbox)))
+        streamed = read_summary(spark, target)
+        assert sorted(map(repr, streamed.collect())) == sorted(map(repr, group_summary(batch, "quality_mode").select(*streamed.columns).collect()))
+
+    records = log_records()
+    for at in range(4):
+        (inbox / f"{at}.jsonl").write_text(json.dumps(records[at % len(records)]) + "\n")
+        publish()
+        wanted()
+    before = sorted(map(repr, read_summary(spark, target).collect()))
+    (inbox / "9.jsonl").write_text("".join(json.dumps(record) + "\n" for record in records))
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(log_stream, "write_once", fail)
+        with pytest.raises(Exception, match="lost"):
+            publish()
+    assert sorted(map(repr, read_summary(spark, target).collect())) == before
+    publish()
+    wanted()
+    assert len(list((tmp_path / "sum").glob("changes-*"))) + len(list((tmp_path / "sum").glob("whole-*"))) <= 6
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    from corpusmill.session import fits_broadcast
+
+    frame = spark.createDataFrame([("x" * 1000, [1.0] * 10, 1)] * 10, "a string, b array<double>, c int")
+    assert fits_broadcast(frame) and not fits_broadcast(frame, max_rows=9)
+    assert not fits_broadcast(frame, max_bytes=10_000) and fits_broadcast(frame, max_bytes=20_000)
+    assert fits_broadcast(frame.limit(0))
