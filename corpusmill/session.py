@@ -105,4 +105,12 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     path = scratch_folder(frame.sparkSession, purpose)
     frame.write.parquet(path)
     _delete_at_exit(frame.sparkSession, path)
-    return frame.sparkSession.read.parquet(path)
+    found = frame.sparkSession.read.parquet(path)
+    found._stored_in = path
+    return found
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a frame that ``stored`` gave, once nothing will read it any more; a loop drops each round so when the next one is written."""
+    place = frame.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(frame._stored_in)
+    place.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
