@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import ship_package, stored
+from corpusmill.session import discard, fits_broadcast, ship_package, stored
 
-__all__ = ["WORD", "fresh", "hash_sample", "read", "running_sums", "ship_package", "stored", "word_array"]
+__all__ = ["WORD", "discard", "fresh", "hash_sample", "join_hot", "read", "running_sums", "ship_package", "stored", "word_array"]
 
 #: Characters that separate words; everything else belongs to one.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -41,6 +41,15 @@ def hash_sample(frame: DataFrame, by: Sequence[str], rows: int, limit: int) -> D
     return frame.filter(place <= F.lit(bound).cast("long")).orderBy(place, *[F.col(f"`{column}`") for column in by]).limit(limit)
 
 
+def join_hot(many: DataFrame, one: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """Inner join with a side that has each key once. Keys with ``hot_rows`` rows or more are few; theirs are joined where they are read."""
+    hot = stored(many.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= hot_rows).select(key), "hot-keys")
+    if hot.isEmpty() or not fits_broadcast(hot, 100_000):
+        return many.join(one, key)
+    few = F.broadcast(hot)
+    return many.join(F.broadcast(one.join(few, key, "left_semi")), key).unionByName(many.join(few, key, "left_anti").join(one, key))
+
+
 def word_array(text: Column) -> Column:
     """Words of a text as an array; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

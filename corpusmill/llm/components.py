@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import discard, join_hot, stored
 
+#: Links of one node from which on they are joined where they are read, in tables that have so many links at all.
+HOT_LINKS = 100_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with(edges: DataFrame, least: DataFrame, many: bool) -> DataFrame:
+    return join_hot(edges, least, "a", HOT_LINKS) if many else edges.join(least, "a")
+
+
+def _large_star(edges: DataFrame, many: bool) -> DataFrame:
     """Every node's larger neighbours are tied to the smallest node next to it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with(both.filter("b > a"), least, many).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: bool) -> DataFrame:
     """Every node and its smaller neighbours are tied to the smallest of them. Edges lead from large to small."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    others = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    others = _with(edges, least, many).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -36,7 +43,10 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        current = stored(_small_star(_large_star(current)), "component-edges")
+        many = mark[0] >= HOT_LINKS
+        large = _large_star(current, many)
+        before, current = current, stored(_small_star(stored(large, "component-edges") if many else large, many), "component-edges")
+        discard(before)
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

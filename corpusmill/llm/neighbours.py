@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import hash_sample, read, ship_package, stored
-from corpusmill.session import fits_broadcast
+from corpusmill.llm.common import hash_sample, join_hot, read, ship_package, stored
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
@@ -226,15 +225,6 @@ def _scan(rows: pa.Table, queries: pa.Table, limit: int, forest: Forest) -> pa.T
     return pa.concat_tables(out)
 
 
-def _joined(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """Inner join with a side that has each key once. Keys with HOT_QUERIES rows or more are few; theirs are joined where they are read."""
-    hot = stored(many.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= HOT_QUERIES).select(key), "hot-keys")
-    if hot.isEmpty() or not fits_broadcast(hot, HOT_QUERIES):
-        return many.join(one, key)
-    few = F.broadcast(hot)
-    return many.join(F.broadcast(one.join(few, key, "left_semi")), key).unionByName(many.join(few, key, "left_anti").join(one, key))
-
-
 def usable(vectors: DataFrame, identity: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id and embedding of the rows that take part.
 
@@ -271,7 +261,7 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, identity
         "vector-classes",
     )
     asking = stored(
-        _joined(good.filter(is_query(F.col("vec_id"))), classes.select("embedding", "class_id"), "embedding").select(
+        join_hot(good.filter(is_query(F.col("vec_id"))), classes.select("embedding", "class_id"), "embedding", HOT_QUERIES).select(
             F.col("vec_id").alias("query_id"), F.col("class_id").alias("query_class")
         ), "vector-queries",
     )
@@ -343,7 +333,7 @@ def nearest(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, identity
         F.transform("ids", lambda vec_id: F.struct((-F.col("score")).alias("worse"), vec_id.alias("vec_id")))
     )).alias("found"))
     others = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))
-    return _joined(asking, lists, "query_class").select(
+    return join_hot(asking, lists, "query_class", HOT_QUERIES).select(
         "query_id", F.posexplode(F.slice(F.sort_array(others), 1, neighbours))
     ).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.worse")).alias("score"))
 

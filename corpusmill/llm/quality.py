@@ -157,12 +157,17 @@ def passing(documents: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def op6_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Measurements, base_failed, kept and failed_bits of every document."""
+    """Measurements, base_failed, kept, failed_bits and only_rule_bit (the policy's rule that alone rejects it, else 0) of every document.
+
+    Sums of only_rule_bit per rule are the ablations of ``ablations``: documents that leaving the rule out would keep. Texts of any length are measured
+    whole, repeated rows each, an empty table gives no rows.
+    """
     rows = ledger(read(spark, folder, "documents").select("doc_id", "text"))
+    own = F.col("failed_bits").bitwiseAND(F.lit(policy_mask(POLICY)).cast("long"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~kept_by("base@1")).alias("base_failed"), kept_by(POLICY).alias("kept"), "n_lines", "n_exclaims", "failed_bits",
-        F.lit(POLICY).alias("policy"),
+        F.lit(POLICY).alias("policy"), F.when(F.bit_count(own) == 1, own).otherwise(F.lit(0).cast("long")).alias("only_rule_bit"),
     )
 
 
@@ -202,5 +207,6 @@ failed AS (
   FROM measured
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,
-  failed_bits = 0 AS kept, n_lines, n_exclaims, failed_bits, 'standard@1' AS policy
+  failed_bits = 0 AS kept, n_lines, n_exclaims, failed_bits, 'standard@1' AS policy,
+  CASE WHEN bit_count(failed_bits) = 1 THEN failed_bits ELSE 0 END AS only_rule_bit
 FROM failed"""
