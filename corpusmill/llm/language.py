@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,8 +19,9 @@ from corpusmill.llm.common import fresh, read, ship_package
 from corpusmill.session import fits_broadcast
 
 UNKNOWN = "und"
-#: Texts whose words have no language with this probability, on average, are rejected.
-LEAST_SCORE = 0.35
+#: The background class of a field that also learns what no language is, and the share of a text's words from which on the text is rejected.
+BACKGROUND = "\0background"
+MOST_BACKGROUND = 0.5
 
 #: Documents per language the model is fitted on, and pieces of PIECE_WORDS words taken from each, spread evenly over it.
 TRAIN_DOCUMENTS = 400
@@ -31,12 +33,8 @@ EPOCHS = 3
 BATCH_CHAINS = 128
 LEARNING_RATE = 0.3
 
-#: Consecutive words that are labelled together; a text of any length is covered by such chains.
-CHAIN_WORDS = 64
-#: Chains that go through forward-backward at once.
-BLOCK_CHAINS = 1024
 #: Scored words a task remembers before it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 
 FEATURES = 1 << 16
 NGRAMS = (1, 2, 3, 4)
@@ -149,40 +147,56 @@ class Field:
         return both, pairs, both[:, 0].sum(axis=0)
 
     def word_marginals(self, scores: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """Marginals of consecutive words; ``owners`` says which text a word belongs to, chains end with it."""
+        """Marginals of consecutive words; ``owners`` says which text a word belongs to. A text is one chain from its first word to its last.
+
+        Texts go through their words side by side, longest first, so that the texts still running at a place are the first ones: the
+        scores lie ordered by place and no room is spent on texts that have ended.
+        """
         total = len(owners)
-        out = np.empty_like(scores)
         if not total:
-            return out
-        first = np.concatenate([[0], np.nonzero(np.diff(owners))[0] + 1, [total]])
-        starts = np.concatenate([np.arange(a, b, CHAIN_WORDS) for a, b in zip(first, first[1:])])
-        stops = np.append(starts[1:], total)
-        order = np.argsort(stops - starts, kind="stable")  # chains of like length together: little padding
-        for at in range(0, len(order), BLOCK_CHAINS):
-            some = order[at : at + BLOCK_CHAINS]
-            longest = int((stops[some] - starts[some]).max())
-            places = starts[some][:, None] + np.arange(longest)[None, :]
-            valid = places < stops[some][:, None]
-            places = np.where(valid, places, starts[some][:, None])
-            found, _, _ = self._forward_backward(scores[places], valid)
-            out[places[valid]] = found[valid]
-        return out
-
-    def _forward_backward(self, scores: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, None, None]:
-        """Marginals of words only, without pairs."""
-        local = np.exp(scores - scores.max(axis=2, keepdims=True))
-        step = np.exp(self.transitions - self.transitions.max())
-        forward, backward = np.empty_like(local), np.ones_like(local)
-        forward[:, 0] = local[:, 0] * np.exp(self.starts - self.starts.max())
-        for t in range(1, local.shape[1]):
-            here = (forward[:, t - 1] @ step) * local[:, t]
-            forward[:, t] = np.where(valid[:, t, None], here / here.sum(axis=1, keepdims=True), forward[:, t - 1])
-        for t in range(local.shape[1] - 2, -1, -1):
-            before = (local[:, t + 1] * backward[:, t + 1]) @ step.T
-            before /= np.maximum(before.sum(axis=1, keepdims=True), 1e-30)
-            backward[:, t] = np.where(valid[:, t + 1, None], before, backward[:, t])
-        both = forward * backward
-        return both / np.maximum(both.sum(axis=2, keepdims=True), 1e-30), None, None
+            return np.empty_like(scores)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(owners)) + 1, [total]])
+        sizes = np.diff(first)
+        by_size = np.argsort(-sizes, kind="stable")
+        running = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(sizes.max()), side="right")  # texts that have a word at a place
+        at = np.concatenate([[0], np.cumsum(running)])
+        nth = np.empty(len(sizes), np.int64)
+        nth[by_size] = np.arange(len(sizes))
+        place = at[np.arange(total) - np.repeat(first[:-1], sizes)] + np.repeat(nth, sizes)
+        local = np.empty(scores.shape, np.float32)
+        local[place] = np.exp(scores - scores.max(axis=1, keepdims=True))
+        step = np.exp(self.transitions - self.transitions.max()).astype(np.float32)
+        forward = np.empty_like(local)
+        here = local[: running[0]] * np.exp(self.starts - self.starts.max())
+        forward[: running[0]] = here / here.sum(axis=1, keepdims=True)
+        for t in range(1, len(running)):
+            here = (forward[at[t - 1] : at[t - 1] + running[t]] @ step) * local[at[t] : at[t + 1]]
+            here /= here.sum(axis=1, keepdims=True)
+            forward[at[t] : at[t + 1]] = here
+        back = step.T.copy()
+        message = np.ones((running[-1], scores.shape[1]), np.float32)
+        for t in range(len(running) - 2, -1, -1):
+            before = np.ones((running[t], scores.shape[1]), np.float32)
+            ahead = (local[at[t + 1] : at[t + 2]] * message) @ back
+            before[: running[t + 1]] = ahead / ahead.sum(axis=1, keepdims=True)
+            forward[at[t] : at[t + 1]] *= before
+            message = before
+        forward /= forward.sum(axis=1, keepdims=True)
+        return forward[place]
+
+
+def background_pieces(pieces: list[tuple[str, list[str]]], seed: int = 5) -> list[tuple[str, list[str]]]:
+    """Pieces of no language: of every second given one the words with their letters in another order or drawn evenly from all letters met."""
+    chance = random.Random(seed)
+    alphabet = sorted({letter for _, words in pieces for word in words for letter in letters(word)})
+    out = []
+    for _, words in pieces[::2]:
+        made = []
+        for word in filter(None, map(letters, words)):
+            drawn = chance.random() < 0.5
+            made.append("".join(chance.choices(alphabet, k=chance.randrange(2, 10)) if drawn else chance.sample(word, len(word))))
+        out.append((BACKGROUND, made))
+    return out
 
 
 def fit(pieces: list[tuple[str, list[str]]], seed: int = 2) -> Field | None:
@@ -257,12 +271,14 @@ def fit(pieces: list[tuple[str, list[str]]], seed: int = 2) -> Field | None:
 def training_pieces(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> list[tuple[str, list[str]]]:
     """A bounded sample of pieces from rows of doc_id, text and lang: at most ``documents`` texts per language.
 
-    Texts are taken in the order of a hash of doc_id and text, so that the sample depends on the rows only.
+    Texts are taken in the order of a hash of doc_id and text, so that the sample depends on the rows only. Repeated rows count
+    once: what has the same hash is cut to one row before it is sent.
     """
-    counts = labelled.groupBy("lang").count()
     chance = (F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5).alias("chance")
+    counts = labelled.select("lang", chance).distinct().groupBy("lang").count()
     # Three times the expected share, then cut exactly by rank among the few that are left.
     few = labelled.select("lang", "text", chance).join(F.broadcast(counts) if fits_broadcast(counts) else counts, "lang").filter(F.col("chance") * F.col("count") < 3 * documents)
+    few = few.groupBy("lang", "chance").agg(F.first("text").alias("text"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -288,11 +304,11 @@ def identify(frame: DataFrame, model: Field | None, text: str = "text", keep_tex
              added: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """Adds the predicted language and its score to a frame.
 
-    Every word of the whole text is labelled by forward-backward; the language with the largest sum of word
+    Every word of the whole text is labelled by forward-backward over one chain; the language with the largest sum of word
     marginals is the text's, its share of the sum the score. ``und`` and 0 for a null text, one without any
-    letter, or without a model. A third name in ``added`` gets the mean over words of the largest marginal of each,
-    which stays near 1 for a text that switches between known languages. Columns of the frame named like ``added`` are replaced, all others kept, the text
-    only with ``keep_text``.
+    letter, or without a model. A background class is never predicted; a third name in ``added`` gets its share of the sum. Columns of the frame
+    named like ``added`` are replaced, all others kept, the text only with ``keep_text``. Repeated rows are predicted alike; a text of any
+    length is one chain, whose messages take about a hundred bytes a word. An empty table gives no rows.
     """
     spark = frame.sparkSession
     ship_package(spark)
@@ -307,7 +323,7 @@ def identify(frame: DataFrame, model: Field | None, text: str = "text", keep_tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = _Labeller(shared.value)
         for batch in batches:
-            predicted, *scores = label(batch.column(text_at), certainty=len(added) > 2)
+            predicted, *scores = label(batch.column(text_at), background=len(added) > 2)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(at) for at in passed], pa.array(predicted, pa.string()), *[pa.array(found, pa.float64()) for found in scores]],
                 [*names, *added],
@@ -319,8 +335,8 @@ def identify(frame: DataFrame, model: Field | None, text: str = "text", keep_tex
 class _Labeller:
     """Labels the texts of batches; remembers the scores of a bounded number of tokens."""
 
-    #: Tokens whose chains are computed together.
-    BLOCK_TOKENS = 200_000
+    #: Tokens after which the texts met are computed. A text is never cut, so a longer one is computed as a whole.
+    BLOCK_TOKENS = 300_000
 
     def __init__(self, model: Field | None) -> None:
         self.model = model
@@ -344,11 +360,10 @@ class _Labeller:
             memo.update({new[at]: base + k for k, at in enumerate(some)})
         return np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
 
-    def __call__(self, column: pa.Array, certainty: bool = False) -> tuple[list[str], *tuple[np.ndarray, ...]]:
+    def __call__(self, column: pa.Array, background: bool = False) -> tuple[list[str], *tuple[np.ndarray, ...]]:
         rows = len(column)
         if self.model is None:
-            return [UNKNOWN] * rows, *[np.zeros(rows)] * (1 + certainty)
-        largest = np.zeros(rows)
+            return [UNKNOWN] * rows, *[np.zeros(rows)] * (1 + background)
         sums = np.zeros((rows, len(self.model.languages)))
         tokens, owners, held = [], [], 0
 
@@ -360,24 +375,23 @@ class _Labeller:
             found = self.model.word_marginals(self.scores[codes[codes >= 0]], owner)
             for at in range(sums.shape[1]):
                 sums[:, at] += np.bincount(owner, found[:, at], rows)
-            if certainty:
-                largest[:] += np.bincount(owner, found.max(axis=1), rows)
             tokens, owners, held = [], [], 0
 
         for row, value in enumerate(column):
             parts = (value.as_py() or "").split()
-            for at in range(0, len(parts), self.BLOCK_TOKENS):
-                tokens.append(parts[at : at + self.BLOCK_TOKENS])
+            if parts:
+                tokens.append(parts)
                 owners.append(row)
-                held += len(tokens[-1])
-                if held >= self.BLOCK_TOKENS:
-                    flush()
+                held += len(parts)
+            if held >= self.BLOCK_TOKENS:
+                flush()
         if tokens:
             flush()
         total = sums.sum(axis=1)
-        best = sums.argmax(axis=1)
+        none = [name == BACKGROUND for name in self.model.languages]
+        best = np.where(none, -1.0, sums).argmax(axis=1)
         names = [self.model.languages[k] if n > 0 else UNKNOWN for k, n in zip(best, total)]
-        parts = [sums[np.arange(rows), best], *[largest] * certainty]
+        parts = [sums[np.arange(rows), best], *[sums[:, none].sum(axis=1)] * background]
         return names, *[np.where(total > 0, part / np.maximum(total, 1e-30), 0.0).clip(0, 1) for part in parts]
 
 
@@ -386,21 +400,24 @@ def held_out(identity: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(identity).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit_documents(documents: DataFrame) -> Field | None:
-    """Model from the documents that may be learned from. Reads doc_id, text and lang."""
+def fit_documents(documents: DataFrame, background: bool = False) -> Field | None:
+    """Model from the documents that may be learned from, on request with a background class. Reads doc_id, text and lang."""
     ship_package(documents.sparkSession)
     usable = documents.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return fit(training_pieces(usable))
+    pieces = training_pieces(usable)
+    return fit(pieces + background_pieces(pieces) if background else pieces)
 
 
-def in_known_language(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """Documents in known languages: not ``und``, and words that have a language with a probability of at least ``least_score`` on average.
+def in_known_language(documents: DataFrame, most_background: float = MOST_BACKGROUND) -> DataFrame:
+    """Documents in known languages: not ``und``, and less than ``most_background`` of their words, by marginals, of no language.
 
-    Documents that switch between languages stay, however evenly. All columns are kept.
+    The field has a class for words of no language, learned from shuffled and random letters, so its verdict does not depend on how many languages there are
+    and a document that switches between languages stays. All columns are kept; a null ``lang`` is replaced by the predicted language.
     """
-    added = tuple(fresh(documents, name) for name in ("_language", "_language_score", "_language_certainty"))
-    found = identify(documents, fit_documents(documents), added=added)
-    return found.filter((F.col(added[0]) != UNKNOWN) & (F.col(added[2]) >= least_score)).drop(*added)
+    added = tuple(fresh(documents, name) for name in ("_language", "_language_score", "_language_background"))
+    found = identify(documents, fit_documents(documents, background=True), added=added)
+    kept = found.filter((F.col(added[0]) != UNKNOWN) & (F.col(added[2]) < most_background))
+    return kept.withColumn("lang", F.coalesce("lang", added[0])).select(*[F.col(f"`{column}`") for column in documents.columns])
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,13 +83,35 @@ def test_odd_texts_and_clashing_columns(spark, model, documents):
     assert ids >= set(range(300)) and not ids & {1000, 1001, 1002}
 
 
-def test_even_switching_between_languages_is_kept(spark, documents):
+def test_a_text_is_one_chain_whatever_its_length():
+    chance = np.random.default_rng(4)
+    field = Field(["a", "b", "c"], {})
+    field.transitions, field.starts = chance.normal(size=(3, 3)).astype(np.float32), chance.normal(size=3).astype(np.float32)
+    sizes = [1, 700, 64, 65, 3, 1500, 128]
+    scores = chance.normal(size=(sum(sizes), 3)).astype(np.float32)
+    found = field.word_marginals(scores, np.repeat([4, 5, 9, 10, 11, 20, 30], sizes))
+    at = 0
+    for size in sizes:
+        whole = field.marginals(scores[None, at : at + size], np.ones((1, size), bool))[0][0]
+        assert found[at : at + size] == pytest.approx(whole, abs=1e-5)
+        at += size
+    assert field.word_marginals(scores[:0], np.zeros(0, np.int64)).shape == (0, 3)
+
+
+def test_stage_rejects_nonsense_and_keeps_switching_texts(spark, documents):
     chance = np.random.default_rng(6)
     mixed = " ".join(text(language, chance, 12) for language in ("en", "fr", "de") * 4)
-    frame = documents.unionByName(spark.createDataFrame([(1000, mixed, None), (1001, "12 ###", None)], documents.schema))
-    found = {row.doc_id: row for row in identify(frame, fit_documents(frame), added=("lang_pred", "part", "certainty")).collect()}
-    assert found[1000].part < 0.4 and found[1000].certainty > 0.9
-    assert {row.doc_id for row in in_known_language(frame, least_score=0.5).collect()} == set(range(300)) | {1000}
+    letters = list("qxzvkjwpyfgb")
+    nonsense = [" ".join("".join(chance.choice(letters, int(chance.integers(3, 7)))) for _ in range(40)) for _ in range(20)] + ["zxq vbn klj wrt " * 10]
+    shuffled = [" ".join("".join(chance.permutation(list(word))) for word in text("en", chance, 60).split()) for _ in range(5)]
+    rows = [(1000, mixed, None), (1001, "12 ###", None)] + [(2000 + at, value, None) for at, value in enumerate(nonsense)]
+    frame = documents.unionByName(spark.createDataFrame(rows, documents.schema))
+    kept = {row.doc_id: row for row in in_known_language(frame).collect()}
+    assert set(kept) == set(range(300)) | {1000} and kept[1000].lang in SYLLABLES
+    background = {row.text: row.background for row in identify(
+        spark.createDataFrame([(value,) for value in shuffled], "text string"), fit_documents(documents, background=True), added=("p", "s", "background")).collect()}
+    assert min(background.values()) > 0.3
+    assert not any(row.lang_pred.startswith("\0") for row in identify(frame, fit_documents(documents, background=True)).collect())
 
 
 def test_labels_of_held_out_documents_are_not_read(spark, documents, tmp_path):
@@ -105,6 +127,8 @@ def test_labels_of_held_out_documents_are_not_read(spark, documents, tmp_path):
 def test_bounded_sample(spark, documents):
     pieces = training_pieces(documents, documents=5)
     assert 0 < len(pieces) <= 3 * 5 * 8 and pieces == training_pieces(documents.repartition(3), documents=5)
+    repeated = documents.unionByName(documents.crossJoin(spark.range(30)).drop("id"))
+    assert sorted(training_pieces(repeated, documents=5)) == sorted(pieces)
 
 
 def test_nothing_to_learn_from(spark, tmp_path):
