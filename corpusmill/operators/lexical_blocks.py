@@ -61,6 +61,23 @@ def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 BLOCK_ENTRIES = 2_000_000
 
 
+#: Codes are added up by address while there are at most so many cells, and this many per code; beyond that they are sorted.
+DENSE_CELLS = 1_000_000
+CELLS_PER_CODE = 4
+
+
+def _added(codes: np.ndarray, cells: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that occur, in order, and how often each does, or the sum of its weights in the order given."""
+    if cells <= DENSE_CELLS + CELLS_PER_CODE * len(codes):
+        counts = np.bincount(codes, minlength=cells)
+        found = np.flatnonzero(counts)
+        return found, counts[found] if weights is None else np.bincount(codes, weights, cells)[found]
+    if weights is None:
+        return np.unique(codes, return_counts=True)
+    found, at = np.unique(codes, return_inverse=True)
+    return found, np.bincount(at, weights=weights, minlength=len(found))
+
+
 def _pairs(
     queries: TaskQueries, words: np.ndarray, rows: np.ndarray, dl: np.ndarray,
     part: Callable[[np.ndarray, np.ndarray], np.ndarray],
@@ -69,15 +86,20 @@ def _pairs(
 
     ``words`` are vocabulary numbers, one per matching token, ``rows`` the chunk of each.
     """
-    seen, tf = np.unique(rows * len(queries.vocabulary) + words, return_counts=True)
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least, used = int(rows[0]), int(rows[-1] - rows[0]) + 1  # tokens come in the order of their rows
+    seen, tf = _added((rows - least) * len(queries.vocabulary) + words, used * len(queries.vocabulary))
     row, word = np.divmod(seen, len(queries.vocabulary))
+    row += least
     value = part(tf.astype(float), dl[row].astype(float))
     users = queries.first[word + 1] - queries.first[word]
     entry = np.repeat(queries.first[word] - (np.cumsum(users) - users), users) + np.arange(users.sum())
-    cell, at = np.unique(np.repeat(row, users) * len(queries.query_ids) + queries.query_of[entry], return_inverse=True)
-    sums = np.bincount(at, weights=np.repeat(value, users) * queries.weight_of[entry], minlength=len(cell))
-    row, query = np.divmod(cell, len(queries.query_ids))
-    return row, query, np.round(sums, SCORE_DIGITS)
+    count = len(queries.query_ids)
+    cell, sums = _added(
+        np.repeat(row - least, users) * count + queries.query_of[entry], used * count, np.repeat(value, users) * queries.weight_of[entry])
+    row, query = np.divmod(cell, count)
+    return row + least, query, np.round(sums, SCORE_DIGITS)
 
 
 def _accepted(

@@ -131,7 +131,6 @@ def test_bm25(spark, monkeypatch, form):
     source = postings(chunks) if form == "postings" else analyzed(chunks)
     if form == "join of analyzed":
         # Too many query terms to ship: both sides are shuffled and frequent terms are dealt out.
-        monkeypatch.setattr(lexical_search, "BROADCAST_ROWS", 2)
         monkeypatch.setattr(lexical_search, "fits_broadcast", lambda frame: False)
         monkeypatch.setattr(lexical_search, "POSTINGS_PER_SALT", 10)
     found = ranked(bm25_topk(queries, source, term_statistics(chunks), 5))
