@@ -16,11 +16,11 @@ import regex
 from corpusmill.llm.byte_words import Words
 
 #: Pieces a worker process remembers before it starts anew.
-MEMO_PIECES = 700_000
+MEMO_PIECES = 250_000
 #: Pieces of more symbols than this are merged with a heap, whose work does not grow with the square of the length.
 LONG_PIECE = 200
 #: Texts at a time, in bytes: what a task holds besides the batch it was given.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
 
 #: Letters below U+0250 without control blanks: no letter there depends on its neighbours when it is normalised.
 _PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]*")
@@ -145,12 +145,12 @@ class ChunkEncoder:
         return np.frombuffer(b"".join(found), "<u4"), first
 
 
-def row_blocks(texts: pa.Array) -> list[tuple[int, int]]:
-    """Consecutive (first row, rows) of about BLOCK_BYTES of text each; a longer text is a block of its own."""
+def row_blocks(texts: pa.Array, block_bytes: int | None = None) -> list[tuple[int, int]]:
+    """Consecutive (first row, rows) of about ``block_bytes`` (or BLOCK_BYTES) of text each; a longer text is a block of its own."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // BLOCK_BYTES
+    group = np.cumsum(sizes) // (block_bytes or BLOCK_BYTES)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]]) if len(sizes) else np.zeros(1, int)
     return [(int(a), int(b - a)) for a, b in zip(cuts, cuts[1:])]
 
