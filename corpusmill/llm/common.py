@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import discard, fits_broadcast, ship_package, stored
 
-__all__ = ["WORD", "discard", "fresh", "hash_sample", "join_hot", "read", "running_sums", "ship_package", "stored", "word_array"]
+__all__ = ["WORD", "discard", "fits_broadcast", "fresh", "hash_sample", "join_hot", "read", "running_sums", "ship_package", "stored", "word_array"]
 
 #: Characters that separate words; everything else belongs to one.
 BLANKS = " \t\n\x0b\x0c\r"
