@@ -25,7 +25,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group linked by a five-word Jaccard similarity of 0.8 or more; repeated rows count as copies."""
+    """The document with the smallest doc_id of each group linked by a five-word Jaccard similarity of 0.8 or more; repeated rows count as copies.
+
+    Links of the fingerprints of ``op5_simhash_near_duplicates`` come first, each checked exactly, then those that fingerprints can't see.
+    """
     return keep_one_similar(docs)
 
 

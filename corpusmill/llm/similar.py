@@ -1,4 +1,4 @@
-"""Near copies by shared shingles: min-hash bands for candidates, exact similarity for every link, components."""
+"""Near copies by shared shingles: links of fingerprints, min-hash bands for what these can't link, exact similarity for every link, components."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from corpusmill.llm.common import discard, fits_broadcast, fresh, ship_package, stored
 from corpusmill.llm.components import components
-from corpusmill.llm.simhash import SEED, one_of_each
+from corpusmill.llm.simhash import SEED, fingerprint, links, one_of_each
 
 SHINGLE_WORDS = 5
 LEAST_SIMILARITY = 0.8
@@ -70,18 +70,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def with_signature(frame: DataFrame, mark: str, signed: str, text: str = "text") -> DataFrame:
-    """Adds a hash of the whole set of shingles and its signature, null without words."""
+def with_signature(frame: DataFrame, mark: str, signed: str, text: str = "text", printed: str | None = None) -> DataFrame:
+    """Adds a hash of the whole set of shingles and its signature, null without words; with ``printed`` the text's fingerprint too."""
     ship_package(frame.sparkSession)
     text_at = frame.columns.index(text)
-    schema = StructType([*frame.schema, StructField(mark, LongType()), StructField(signed, BinaryType())])
+    schema = StructType([*frame.schema, StructField(mark, LongType()), StructField(signed, BinaryType()), *([StructField(printed, LongType())] if printed else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(value.as_py()) for value in batch.column(text_at)]
             marks = np.array([xxhash.xxh64_intdigest(found.tobytes(), SEED) for found in sets], np.uint64).view(np.int64)
             signs = pa.array([signature(found).tobytes() if len(found) else None for found in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks), signs], schema.names)
+            prints = [pa.array(np.array([fingerprint(value.as_py()) for value in batch.column(text_at)], np.uint64).view(np.int64))] if printed else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks), signs, *prints], schema.names)
 
     return frame.mapInArrow(run, schema)
 
@@ -258,10 +259,29 @@ def _crossing(members: DataFrame, known: DataFrame, signs: DataFrame, chunk: int
     return asking.unionByName(held).repartition(*order).sortWithinPartitions(*order)
 
 
+def _fingerprint_links(rows: DataFrame) -> DataFrame:
+    """a, b: nodes with equal fingerprints, tied to the smallest of them, and such smallest ones whose fingerprints are linked."""
+    marks = rows.select("fingerprint", "node").distinct()
+    pivots = stored(marks.groupBy("fingerprint").agg(F.min("node").alias("pivot")), "similar-fingerprints")
+    same = marks.join(pivots, "fingerprint").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    near = links(pivots.select("fingerprint")).distinct()
+    near = near.join(pivots.select(F.col("fingerprint").alias("a"), F.col("pivot").alias("pivot_a")), "a").join(
+        pivots.select(F.col("fingerprint").alias("b"), F.col("pivot").alias("pivot_b")), "b")
+    both = same.unionByName(near.select(F.col("pivot_a").alias("a"), F.col("pivot_b").alias("b")))
+    return both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _of_different_roots(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs a, b that are not connected yet."""
+    placed = pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(
+        known.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
+    return placed.filter("root_a <> root_b").select("a", "b")
+
+
 def roots(rows: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """node, root of all sets that are linked to others, from node, signed, text (rows with equal node have equal shingles).
+    """node, root of all sets that are linked to others, from node, signed, fingerprint, text (rows with equal node have equal shingles).
 
-    Sets meet in buckets of equal bands, 24 for each; of buckets with the same members one is kept. First each member is checked against its bucket's smallest.
+    First the links of fingerprints are checked. For what fingerprints can't link, sets meet in buckets of equal bands, 24 for each; of buckets with the same members one is kept. Each member is checked against its bucket's smallest, unless they are connected.
     Where that leaves several groups in a bucket, the members outside the largest one are checked against
     the NEAREST members of other groups by their signatures, again while that finds links, and then, in blocks that bring their shingles along, against all
     with enough equal min-hashes. So every pair that is not connected otherwise is checked or too far off by its signature, while a group of n near copies takes
@@ -274,13 +294,18 @@ def roots(rows: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     held = F.struct(F.count("*").alias("n"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     different = banded.groupBy("bucket").agg(held.alias("held")).filter("held.n > 1").groupBy("held").agg(F.min("bucket").alias("bucket"))
     members = stored(banded.join(different.select("bucket", F.col("held.pivot").alias("pivot")), "bucket").select("bucket", "node", "pivot"), "similar-members")
-    wanted = members.select("node").distinct()
+    linked = stored(_fingerprint_links(rows.filter("signed IS NOT NULL")), "similar-linked")
+    wanted = stored(members.select("node").unionByName(linked.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "similar-wanted")
     texts = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = stored(texts.mapInArrow(_sets, "node long, found binary"), "similar-sets")
-    first = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    checked = _checked(first, sets, least)
+    checked = _checked(linked, sets, least)
     known = _joined(wanted.withColumn("root", F.col("node")), checked.filter("holds").select("a", "b"))
     wrong = checked.filter("NOT holds").select("a", "b")
+    first = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    checked = _checked(_of_different_roots(first, known).join(wrong, ["a", "b"], "left_anti"), sets, least)
+    before, known = known, _joined(known, checked.filter("holds").select("a", "b"))
+    discard(before)
+    wrong = wrong.unionByName(checked.filter("NOT holds").select("a", "b"))
     found = True
     while found:
         proposed = stored(_crossing(members, known, signs, CHUNK).mapInArrow(_proposer(NEAREST), "bucket long, a long, b long"), "similar-proposed")
@@ -309,8 +334,9 @@ def keep_one_similar(frame: DataFrame, identity: str = "doc_id", text: str = "te
     Kept is the row with the smallest id, then the smallest text hash; null ids come last. All columns are kept. Rows with
     equal shingles, such as those without words, are copies.
     """
-    mark, signed, root = fresh(frame, "_shingles"), fresh(frame, "_signature"), fresh(frame, "_root")
-    marked = stored(with_signature(frame, mark, signed, text), "shingled")
-    found = roots(marked.select(F.col(mark).alias("node"), F.col(signed).alias("signed"), F.col(f"`{text}`").alias("text")), least)
+    mark, signed, printed, root = (fresh(frame, name) for name in ("_shingles", "_signature", "_fingerprint", "_root"))
+    marked = stored(with_signature(frame, mark, signed, text, printed), "shingled")
+    found = roots(marked.select(
+        F.col(mark).alias("node"), F.col(signed).alias("signed"), F.col(printed).alias("fingerprint"), F.col(f"`{text}`").alias("text")), least)
     known = found.select(F.col("node").alias(mark), F.col("root").alias(root))
-    return one_of_each(marked.drop(signed), known, mark, root, identity, text).select(*[F.col(f"`{column}`") for column in frame.columns])
+    return one_of_each(marked.drop(signed, printed), known, mark, root, identity, text).select(*[F.col(f"`{column}`") for column in frame.columns])

@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmill.llm import similar
@@ -118,3 +119,27 @@ def test_last_step_checks_each_pair_once(spark):
             x, y = plain_shingles(texts[a]), plain_shingles(texts[b])
             if x and y and nodes[a] != nodes[b]:
                 assert (frozenset((nodes[a], nodes[b])) in linked) == (len(x & y) >= 0.8 * len(x | y))
+
+
+def test_links_of_fingerprints_are_found_without_bands_and_checked(spark, monkeypatch):
+    def no_bands(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["bucket", "node"])
+
+    monkeypatch.setattr(similar, "_bands", no_bands)
+    chance = random.Random(6)
+    texts = []
+    for _ in range(12):
+        words = [f"w{chance.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["other", *words[1:]])]
+    texts += ["a b c", "a b c d"]
+    prints = [plain_fingerprint(text) for text in texts]
+    sets = [plain_shingles(text) for text in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if r == max(root[a], root[b]) else r for r in root]
+    assert len(set(root)) < len(texts) - 10
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(row.doc_id for row in similar.keep_one_similar(frame).collect()) == sorted(set(root))
