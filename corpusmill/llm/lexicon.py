@@ -27,6 +27,9 @@ LONGEST_CHUNK = 48
 #: Chunks met less often than this are merged where they stand; classes of counts a doubling is cut into.
 LEAST_COUNT = 4
 COUNT_STEPS = 4
+#: Bytes of text a task counts or encodes at a time, and ids it decodes: what it holds besides the batch it was given.
+TEXT_BYTES = 1_500_000
+IDS = 500_000
 
 
 def chunk_counts(frame: DataFrame, text: str = "text") -> DataFrame:
@@ -35,10 +38,12 @@ def chunk_counts(frame: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = split_words(batch.column(0)).words
-            found = words.filter(pc.less_equal(pc.binary_length(words), LONGEST_CHUNK)).dictionary_encode()
-            counts = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
-            yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.string()), pa.array(counts.astype(np.int64))], ["chunk", "n"])
+            for start, rows in row_blocks(batch.column(0), TEXT_BYTES):
+                words = split_words(batch.column(0).slice(start, rows)).words
+                found = words.filter(pc.less_equal(pc.binary_length(words), LONGEST_CHUNK)).dictionary_encode()
+                counts = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+                yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.string()), pa.array(counts.astype(np.int64))], ["chunk", "n"])
+            pa.default_memory_pool().release_unused()
 
     counted = frame.select(F.col(f"`{text}`")).mapInArrow(run, "chunk string, n long")
     return counted.groupBy("chunk").agg(F.sum("n").alias("n"))
@@ -225,7 +230,7 @@ def encode(frame: DataFrame, tokenizer_path: str, identity: str = "doc_id", text
         encoder, lexicon = ChunkEncoder.of(shared.value), Lexicon.shipped(name)
         known = len(lexicon.first) - 1
         for batch in batches:
-            for start, rows in row_blocks(batch.column("text")):
+            for start, rows in row_blocks(batch.column("text"), TEXT_BYTES):
                 part = batch.slice(start, rows)
                 found = split_words(part.column("text"))
                 coded = found.words.dictionary_encode()
@@ -269,7 +274,7 @@ def decode(frame: DataFrame, tokenizer_path: str, ids: str = "ids", decoded: str
         tokens = vocabulary(model.value)
         for batch in batches:
             lists = batch.column(len(kept))
-            step = max(1, 2_000_000 * len(lists) // max(len(lists.flatten()), 1))  # bounds what is held besides the batch
+            step = max(1, IDS * len(lists) // max(len(lists.flatten()), 1))  # bounds what is held besides the batch
             for start in range(0, len(lists), step):
                 part = lists.slice(start, step)
                 flat = part.flatten()

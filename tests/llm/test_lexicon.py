@@ -131,3 +131,27 @@ def test_query_over_the_whole_table(spark, tokenizer):
     for document in documents:
         row = rows[document.doc_id]
         assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == plain(tokenizer, document.text)
+
+
+def test_chunks_are_counted_in_small_blocks():
+    """What a task holds while it counts is bounded by bytes, not by the rows of a batch."""
+    sizes = []
+
+    class Frame:
+        sparkSession = None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_arrays([pa.array(["ab cd " * 50_000] * 20)], ["text"])
+            sizes.extend(sum(out.column(1).to_pylist()) for out in run(iter([batch])))
+            return self
+
+        groupBy = agg = select
+
+    import unittest.mock
+
+    with unittest.mock.patch.object(lexicon, "ship_package"), unittest.mock.patch.object(lexicon, "F"):
+        lexicon.chunk_counts(Frame())
+    assert sum(sizes) == 2_000_000 and max(sizes) * 3 <= lexicon.TEXT_BYTES
