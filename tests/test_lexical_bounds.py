@@ -98,3 +98,26 @@ def test_strip_knows_all_white_space(spark):
     frame = spark.createDataFrame([(text,) for text in texts], "text string")
     got = frame.select(strip(F.col("text")).alias("new"), F.regexp_replace("text", r"(?U)^\s+|\s+\z", "").alias("old"))
     assert got.filter("new <> old OR new IS NULL").count() == 0
+
+
+def test_postings_are_scored_by_chunk_as_their_join_with_queries_is(spark):
+    """A word that all queries use is shuffled once per chunk, not once per chunk and query; rows of one chunk with other filters count together."""
+    from corpusmill.operators.lexical_blocks import score_postings
+    from corpusmill.operators.lexical_search import match_postings
+
+    word = F.concat(F.lit("w"), F.pmod(F.xxhash64("id", "nth"), F.lit(9)).cast("string"))
+    article = F.when(F.col("id") % 3 == 0, F.col("nth").cast("string"))
+    posted = spark.range(400).withColumn("nth", F.explode(F.array(*map(F.lit, range(5))))).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), F.when(F.col("id") % 7 > 0, "en").otherwise("fr").alias("task"),
+        article.alias("article_number"), F.when(F.col("id") % 2 == 0, F.array(F.col("nth").cast("bigint"))).alias("clause_number"),
+        word.alias("term"), F.col("nth").cast("int").alias("tf"), (F.col("id") % 11 + 1).cast("int").alias("dl")).filter("tf > 0")
+    terms = spark.range(60).withColumn("nth", F.explode(F.array(*map(F.lit, range(4))))).select(
+        F.concat(F.lit("q"), F.col("id").cast("string")).alias("query_id"), F.lit("en").alias("task"),
+        F.when(F.col("id") % 5 == 0, F.lit("2")).alias("article_number"), F.when(F.col("id") % 4 == 0, F.lit("3")).alias("clause_number"),
+        F.concat(F.lit("w"), ((F.col("id") + 2 * F.col("nth")) % 9).cast("string")).alias("term"), (F.col("nth") + 1.0).alias("w_weight")).distinct()
+    joined = match_postings(posted, terms).groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w_weight") * F.col("tf") / F.col("dl")), 10).alias("score"))
+    for some in (terms, terms.filter("article_number IS NULL AND clause_number IS NULL")):
+        found = score_postings(posted, some.withColumnRenamed("w_weight", "weight").toPandas(), lambda tf, dl: tf / dl, 400)
+        expected = joined.join(some.select("query_id").distinct(), "query_id")
+        digits = lambda rows: sorted((q, c, round(s, 6)) for q, c, s in rows.select("query_id", "chunk_id", "score").collect())
+        assert digits(found) == digits(expected) and found.count()
