@@ -259,16 +259,25 @@ def _crossing(members: DataFrame, known: DataFrame, signs: DataFrame, chunk: int
     return asking.unionByName(held).repartition(*order).sortWithinPartitions(*order)
 
 
-def _fingerprint_links(rows: DataFrame) -> DataFrame:
-    """a, b: nodes with equal fingerprints, tied to the smallest of them, and such smallest ones whose fingerprints are linked."""
+def _fingerprint_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables of pairs a, b of nodes, with the ``group`` of linked fingerprints that they are in.
+
+    The first ties each node to the smallest one of its fingerprint and these to that of the group's smallest fingerprint, so it has fewer pairs
+    than there are nodes, however often a fingerprint was linked. The second has all links of different fingerprints.
+    """
     marks = rows.select("fingerprint", "node").distinct()
     pivots = stored(marks.groupBy("fingerprint").agg(F.min("node").alias("pivot")), "similar-fingerprints")
-    same = marks.join(pivots, "fingerprint").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    near = links(pivots.select("fingerprint")).distinct()
-    near = near.join(pivots.select(F.col("fingerprint").alias("a"), F.col("pivot").alias("pivot_a")), "a").join(
-        pivots.select(F.col("fingerprint").alias("b"), F.col("pivot").alias("pivot_b")), "b")
-    both = same.unionByName(near.select(F.col("pivot_a").alias("a"), F.col("pivot_b").alias("b")))
-    return both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = stored(links(pivots.select("fingerprint")).distinct(), "similar-near")
+    grouped = stored(
+        pivots.join(components(near).withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("group", F.coalesce("root", "fingerprint")).drop("root"),
+        "similar-groups")
+    heads = grouped.filter("fingerprint = group").select("group", F.col("pivot").alias("head"))
+    same = marks.join(grouped, "fingerprint").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "group")
+    tied = same.unionByName(grouped.join(heads, "group").select(F.col("head").alias("a"), F.col("pivot").alias("b"), "group"))
+    both = near.join(grouped.select(F.col("fingerprint").alias("a"), F.col("pivot").alias("pivot_a"), "group"), "a").join(
+        pivots.select(F.col("fingerprint").alias("b"), F.col("pivot").alias("pivot_b")), "b").select(F.col("pivot_a").alias("a"), F.col("pivot_b").alias("b"), "group")
+    tied, both = (pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "group").distinct() for pairs in (tied, both))
+    return stored(tied, "similar-linked"), both
 
 
 def _of_different_roots(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -281,7 +290,8 @@ def _of_different_roots(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def roots(rows: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """node, root of all sets that are linked to others, from node, signed, fingerprint, text (rows with equal node have equal shingles).
 
-    First the links of fingerprints are checked. For what fingerprints can't link, sets meet in buckets of equal bands, 24 for each; of buckets with the same members one is kept. Each member is checked against its bucket's smallest, unless they are connected.
+    First the links of fingerprints are checked: each node with the smallest of its group of linked fingerprints, then, where that does not connect the whole
+    group, every link between what is still apart. For what fingerprints can't link, sets meet in buckets of equal bands, 24 for each; of buckets with the same members one is kept. Each member is checked against its bucket's smallest, unless they are connected.
     Where that leaves several groups in a bucket, the members outside the largest one are checked against
     the NEAREST members of other groups by their signatures, again while that finds links, and then, in blocks that bring their shingles along, against all
     with enough equal min-hashes. So every pair that is not connected otherwise is checked or too far off by its signature, while a group of n near copies takes
@@ -294,13 +304,20 @@ def roots(rows: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     held = F.struct(F.count("*").alias("n"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     different = banded.groupBy("bucket").agg(held.alias("held")).filter("held.n > 1").groupBy("held").agg(F.min("bucket").alias("bucket"))
     members = stored(banded.join(different.select("bucket", F.col("held.pivot").alias("pivot")), "bucket").select("bucket", "node", "pivot"), "similar-members")
-    linked = stored(_fingerprint_links(rows.filter("signed IS NOT NULL")), "similar-linked")
-    wanted = stored(members.select("node").unionByName(linked.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "similar-wanted")
+    tied, linked = _fingerprint_links(rows.filter("signed IS NOT NULL"))
+    wanted = members.select("node").unionByName(tied.select(F.col("a").alias("node"))).unionByName(tied.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(wanted, "similar-wanted")
     texts = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = stored(texts.mapInArrow(_sets, "node long, found binary"), "similar-sets")
-    checked = _checked(linked, sets, least)
+    checked = _checked(tied.select("a", "b").distinct(), sets, least)
     known = _joined(wanted.withColumn("root", F.col("node")), checked.filter("holds").select("a", "b"))
     wrong = checked.filter("NOT holds").select("a", "b")
+    # Where a group's nodes are all like its smallest, none of its links can tell more; of other groups every link is looked at.
+    broken = tied.join(wrong, ["a", "b"], "left_semi").select("group").distinct()
+    checked = _checked(_of_different_roots(linked.join(broken, "group", "left_semi").select("a", "b").distinct(), known).join(wrong, ["a", "b"], "left_anti"), sets, least)
+    before, known = known, _joined(known, checked.filter("holds").select("a", "b"))
+    discard(before)
+    wrong = stored(wrong.unionByName(checked.filter("NOT holds").select("a", "b")), "similar-wrong")
     first = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     checked = _checked(_of_different_roots(first, known).join(wrong, ["a", "b"], "left_anti"), sets, least)
     before, known = known, _joined(known, checked.filter("holds").select("a", "b"))

@@ -143,3 +143,16 @@ def test_links_of_fingerprints_are_found_without_bands_and_checked(spark, monkey
     assert len(set(root)) < len(texts) - 10
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(row.doc_id for row in similar.keep_one_similar(frame).collect()) == sorted(set(root))
+
+
+def test_crowded_fingerprints_are_tied_by_fewer_pairs_than_nodes(spark):
+    """Fingerprints that are all linked with each other have a link for many choices of blocks; what is checked first does not grow with these."""
+    from itertools import combinations
+
+    marks = [sum(1 << bit for bit in bits) for size in (0, 1, 2) for bits in combinations(range(24), size)]
+    rows = spark.createDataFrame([(7 * at, mark) for at, mark in enumerate(marks)] + [(-1, marks[5])], "node long, fingerprint long")
+    tied, linked = similar._fingerprint_links(rows)
+    pairs = tied.collect()
+    assert len(pairs) <= len(marks) and len({row.group for row in pairs}) == 1
+    assert {row.a for row in pairs} | {row.b for row in pairs} == {row.node for row in rows.collect()}
+    assert linked.count() > len(marks)
