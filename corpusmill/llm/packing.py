@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusmill.llm.byte_words import split_words
 from corpusmill.llm.common import read, running_sums, ship_package, stored
-from corpusmill.llm.merges import ChunkEncoder, ids_of_words, row_blocks
+from corpusmill.llm.merges import ChunkEncoder, ids_of_words, joined_ids, row_blocks
 
 CAPACITY = 2048
 END_ID = 0
@@ -35,6 +36,43 @@ RANK_RANGES = 1024
 WORD_ENDS = b".,;:!?"
 
 
+#: Different words that a worker remembers at least, of those it met last, and the longest of them.
+MEMO_WORDS = 100_000
+MEMO_LETTERS = 64
+
+
+class LibraryEncoder(ChunkEncoder):
+    """As ``ChunkEncoder``, but the tokenizers library merges the pieces, and words met lately are not cut and merged again."""
+
+    shared: dict[int, ChunkEncoder] = {}
+
+    def __init__(self, model: str) -> None:
+        super().__init__(model)
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_str(model).model
+        self.lately: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(text)]).tobytes()
+
+    def chunks(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for text in texts:
+            ids = self.lately.get(text)
+            if ids is None:
+                ids = self.before.get(text)
+                if ids is None:
+                    ids = self.chunk(text)
+                if len(text) <= MEMO_LETTERS:
+                    if len(self.lately) >= MEMO_WORDS:
+                        self.lately, self.before = {}, self.lately
+                    self.lately[text] = ids
+            found.append(ids)
+        return joined_ids(found)
+
+
 def ids_of_texts(encoder: ChunkEncoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other and their number per text. Each different word of the texts is encoded once."""
     if not pc.any(pc.match_substring(texts, "<|"), min_count=0).as_py():
@@ -61,7 +99,7 @@ def token_pieces(frame: DataFrame, tokenizer_path: str, identity: str = "doc_id"
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder.of(model.value)
+        encoder = LibraryEncoder.of(model.value)
         for batch in batches:
             for first, rows in row_blocks(batch.column("text")):
                 ids, sizes = ids_of_texts(encoder, batch.column("text").slice(first, rows))

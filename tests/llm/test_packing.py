@@ -102,3 +102,20 @@ def test_sequences_hold_the_pieces(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op3_packed_sequences(spark, str(tmp_path)).collect() == []
+
+
+def test_the_library_merges_and_words_met_lately_are_not_merged_again(monkeypatch):
+    from corpusmill.llm import packing
+
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        encoder = packing.LibraryEncoder(file.read())
+    library = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    library.no_truncation()
+    monkeypatch.setattr(packing, "MEMO_WORDS", 4)
+    merged = []
+    monkeypatch.setattr(encoder, "chunk", lambda text: merged.append(text) or ChunkEncoder.chunk(encoder, text))
+    words = ["straße", "isn't", "x" * 70, "naïve", "12.5", "<|endoftext|>a", "e\u0301t\u00e9", "#日本", "isn't", "naïve", "x" * 70]
+    pool, first = encoder.chunks(words)
+    for at, word in enumerate(words):
+        assert pool[first[at] : first[at + 1]].tolist() == library.encode(word, add_special_tokens=False).ids
+    assert merged.count("isn't") == merged.count("naïve") == 1 and len(encoder.lately) <= 4
