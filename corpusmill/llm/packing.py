@@ -7,6 +7,7 @@ from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusmill.llm.byte_words import split_words
-from corpusmill.llm.common import read, running_sums, ship_package, stored
+from corpusmill.llm.common import read, running_sums, ship_package, small_batches, stored
 from corpusmill.llm.merges import ChunkEncoder, ids_of_words, joined_ids, row_blocks
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +43,8 @@ WORD_ENDS = b".,;:!?"
 #: Different words that a worker remembers at least, of those it met last, and the longest of them.
 MEMO_WORDS = 100_000
 MEMO_LETTERS = 64
+#: Bytes of text a task encodes at a time, which bounds what it holds besides the batch it was given.
+TEXT_BYTES = 1_500_000
 
 
 class LibraryEncoder(ChunkEncoder):
@@ -46,11 +52,8 @@ class LibraryEncoder(ChunkEncoder):
 
     shared: dict[int, ChunkEncoder] = {}
 
-    def __init__(self, model: str) -> None:
-        super().__init__(model)
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_str(model).model
+    def _load(self, tokenizer: Tokenizer, model: dict) -> None:
+        self.model = tokenizer.model  # the same one that normalises and cuts, and no tables beside it
         self.lately: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -101,7 +104,7 @@ def token_pieces(frame: DataFrame, tokenizer_path: str, identity: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder.of(model.value)
         for batch in batches:
-            for first, rows in row_blocks(batch.column("text")):
+            for first, rows in row_blocks(batch.column("text"), TEXT_BYTES):
                 ids, sizes = ids_of_texts(encoder, batch.column("text").slice(first, rows))
                 flat = np.insert(ids.astype("<u4"), np.cumsum(sizes), end_id)
                 sizes = sizes + 1
@@ -118,6 +121,7 @@ def token_pieces(frame: DataFrame, tokenizer_path: str, identity: str = "doc_id"
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
+            pa.default_memory_pool().release_unused()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     return slim.mapInArrow(run, schema + ", ids array<int>" * with_ids)
@@ -327,7 +331,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def pack_documents(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """Pieces of all documents with their checksum and place; the ids themselves can be joined by doc_id and piece."""
-    pieces = stored(token_pieces(documents, tokenizer_path, with_ids=False), "token-pieces")
+    with small_batches(documents.sparkSession):
+        pieces = stored(token_pieces(documents, tokenizer_path, with_ids=False), "token-pieces")
     return pack(pieces, "length", ["doc_id", "piece", "ids_crc32"])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from corpusmill.llm.common import discard, fits_broadcast, fresh, ship_package, stored
+from corpusmill.llm.common import discard, fits_broadcast, fresh, ship_package, small_batches, stored
 from corpusmill.llm.components import components
 from corpusmill.llm.simhash import SEED, fingerprint, links, one_of_each
 
@@ -352,8 +352,9 @@ def keep_one_similar(frame: DataFrame, identity: str = "doc_id", text: str = "te
     equal shingles, such as those without words, are copies.
     """
     mark, signed, printed, root = (fresh(frame, name) for name in ("_shingles", "_signature", "_fingerprint", "_root"))
-    marked = stored(with_signature(frame, mark, signed, text, printed), "shingled")
-    found = roots(marked.select(
-        F.col(mark).alias("node"), F.col(signed).alias("signed"), F.col(printed).alias("fingerprint"), F.col(f"`{text}`").alias("text")), least)
+    with small_batches(frame.sparkSession):
+        marked = stored(with_signature(frame, mark, signed, text, printed), "shingled")
+        found = roots(marked.select(
+            F.col(mark).alias("node"), F.col(signed).alias("signed"), F.col(printed).alias("fingerprint"), F.col(f"`{text}`").alias("text")), least)
     known = found.select(F.col("node").alias(mark), F.col("root").alias(root))
     return one_of_each(marked.drop(signed, printed), known, mark, root, identity, text).select(*[F.col(f"`{column}`") for column in frame.columns])

@@ -12,8 +12,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpusmill.llm import packing
 from corpusmill.llm.merges import ChunkEncoder
-from corpusmill.llm.packing import TOKENIZER, ids_of_texts, op3_packed_sequences, pack, plan_packing, sequences, token_pieces
+from corpusmill.llm.packing import TOKENIZER, ids_of_texts, op3_packed_sequences, pack, pack_documents, plan_packing, sequences, token_pieces
+from corpusmill.session import BATCH_BYTES, small_batches
 
 PATH = public_tokenizers.path(TOKENIZER)
 TEXTS = [
@@ -119,3 +121,49 @@ def test_the_library_merges_and_words_met_lately_are_not_merged_again(monkeypatc
     for at, word in enumerate(words):
         assert pool[first[at] : first[at + 1]].tolist() == library.encode(word, add_special_tokens=False).ids
     assert merged.count("isn't") == merged.count("naïve") == 1 and len(encoder.lately) <= 4
+
+
+def batch_sizes(frame):
+    """Rows and bytes of each batch that a Python worker is given."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    return frame.mapInArrow(run, "rows long, bytes long")
+
+
+def test_small_batches_bound_what_a_worker_is_given(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    frame = batch_sizes(spark.range(0, 3000, 1, 1).select(F.expr("if(id = 1500, repeat('y', 200000), repeat('x', 1000))").alias("text")))
+    assert [row.rows for row in frame.collect()] == [3000]
+    with small_batches(spark, 100_000):
+        found = frame.collect()
+    assert sum(row.rows for row in found) == 3000 and sorted(row.bytes for row in found)[-2] < 150_000
+    assert spark.conf.get(key, None) == before
+    assert [row.rows for row in frame.collect()] == [3000]
+
+
+def test_documents_come_to_the_encoder_in_small_batches(spark, monkeypatch):
+    given = []
+
+    def pieces(frame, *args, **options):
+        given.extend(batch_sizes(frame.select("text")).collect())
+        return token_pieces(frame, *args, **options)
+
+    monkeypatch.setattr(packing, "token_pieces", pieces)
+    frame = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('to be ', 600)").alias("text"))
+    packed = pack_documents(frame, PATH)
+    assert len(given) > 1 and max(row.bytes for row in given) < 1.5 * BATCH_BYTES
+    assert packed.count() == 3000
+
+
+def test_the_library_encoder_keeps_no_tables_beside_the_library():
+    with open(PATH, encoding="utf-8") as file:
+        encoder = packing.LibraryEncoder(file.read())
+    assert not {"rank", "made", "inner", "last", "memo"} & set(vars(encoder))
+    tokenizer = Tokenizer.from_file(PATH)
+    for text in TEXTS[3:]:
+        assert np.frombuffer(b"".join(map(encoder.chunk, text.split())), "<u4").tolist() == [
+            number for word in text.split() for number in tokenizer.encode(word, add_special_tokens=False).ids]

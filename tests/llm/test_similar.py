@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusmill.llm import similar
+from corpusmill.session import BATCH_BYTES
 from tests.llm.test_simhash import plain_fingerprint
 
 
@@ -156,3 +157,14 @@ def test_crowded_fingerprints_are_tied_by_fewer_pairs_than_nodes(spark):
     assert len(pairs) <= len(marks) and len({row.group for row in pairs}) == 1
     assert {row.a for row in pairs} | {row.b for row in pairs} == {row.node for row in rows.collect()}
     assert linked.count() > len(marks)
+
+
+def test_sets_and_texts_come_to_workers_in_small_batches(spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], similar.stored
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(similar, "stored", lambda frame, purpose: seen.append((purpose, spark.conf.get(key, None))) or write(frame, purpose))
+    text = "one two three four five six seven eight nine ten"
+    frame = spark.createDataFrame([(1, text), (2, text), (3, "others altogether")], "doc_id long, text string")
+    assert sorted(row.doc_id for row in similar.keep_one_similar(frame).collect()) == [1, 3]
+    assert {"shingled", "similar-sets"} <= {purpose for purpose, _ in seen} and {size for _, size in seen} == {str(BATCH_BYTES)}
+    assert spark.conf.get(key, None) == before
