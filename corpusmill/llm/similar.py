@@ -27,8 +27,12 @@ LEAST_EQUAL = 56
 #: Shingles whose hashes are computed at a time, and cells of a comparison.
 BLOCK = 4096
 CELLS = 200_000
-#: Partners proposed to a row in a round, as long as rounds find links.
-NEAREST = 8
+#: Pairs with fewer equal min-hashes are left to the last step, which writes no pairs; at a similarity of 0.8 a tenth has fewer.
+LIKELY = 72
+#: Partners proposed to a row by a bucket in a round; the nearest one of all its buckets is checked.
+NEAREST = 2
+#: Rounds go on while at least one of so many pairs holds; what they leave is found by the last step.
+WORTH = 10
 #: Rows of a bucket that a task compares with as many others at a time.
 CHUNK = 4096
 #: The same where rows bring their shingles along.
@@ -153,14 +157,22 @@ def _met(table: pa.Table, width: int | None) -> Iterator[tuple[np.ndarray, np.nd
         yield asking, held, signs, x, y
 
 
-def _proposer(width: int):
-    """Pairs to check: of each row that asks the ``width`` nearest by signature."""
+def _proposer(width: int, likely: int):
+    """Pairs that probably hold: of each row that asks the ``width`` nearest by signature. One row without a pair where only others could hold."""
+
+    def rows_out(bucket: int, a: pa.Array, b: pa.Array, equal: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), bucket)), a, b, equal], ["bucket", "a", "b", "equal"])
 
     def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        nodes = table.column("node").to_numpy()
-        for asking, held, _, x, y in _met(table, width):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(x), table.column("bucket")[0].as_py())), pa.array(nodes[asking[x]]), pa.array(nodes[held[y]])], ["bucket", "a", "b"])
+        nodes, bucket, could, given = table.column("node").to_numpy(), table.column("bucket")[0].as_py(), False, False
+        for asking, held, signs, x, y in _met(table, width):
+            equal = (signs[asking[x]] == signs[held[y]]).sum(axis=1, dtype=np.int32)
+            could, good = could or len(x) > 0, equal >= likely
+            if good.any():
+                given = True
+                yield rows_out(bucket, pa.array(nodes[asking[x[good]]]), pa.array(nodes[held[y[good]]]), pa.array(equal[good]))
+        if could and not given:
+            yield rows_out(bucket, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()))
 
     return _by_part(close)
 
@@ -221,7 +233,7 @@ def _of_nodes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """a, b, holds of different pairs, each compared by its sets."""
     pairs = stored(pairs, "similar-pairs")
-    sets = _of_nodes(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _of_nodes(sets, stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-asked"))
     full = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("found_b")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("found").alias("found_a")), "a")
     return stored(full.select("a", "b", "found_a", "found_b").mapInArrow(_check(least), "a long, b long, holds boolean"), "similar-checked")
@@ -235,10 +247,11 @@ def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
     return stored(known.join(moved, "root", "left").select("node", F.coalesce("further", "root").alias("root")), "similar-roots")
 
 
-def _crossing(members: DataFrame, known: DataFrame, signs: DataFrame, chunk: int) -> DataFrame:
+def _crossing(members: DataFrame, known: DataFrame, signs: DataFrame, chunk: int, turn: int | None = None) -> DataFrame:
     """Rows that meet: in each bucket with several roots, all rows outside its most frequent root ask all rows.
 
     Both sides are cut into parts of about ``chunk`` rows and every part meets every other, so a bucket of any size is spread over tasks.
+    With a ``turn`` rows ask only their own part, which is another in every turn, so no row is copied more than once.
     ``signs`` are the columns to bring along, by node.
     """
     placed = members.join(known, "node")
@@ -249,6 +262,11 @@ def _crossing(members: DataFrame, known: DataFrame, signs: DataFrame, chunk: int
         F.ceil((F.col("rows") - F.col("most.n")) / chunk).cast("int").alias("asks_parts"), F.ceil(F.col("rows") / chunk).cast("int").alias("held_parts"))
     rows = placed.join(main, "bucket").join(signs, "node").withColumn("stray", F.col("root") != F.col("main"))
     carried = ["node", "root", "stray", *[column for column in signs.columns if column != "node"]]
+    if turn is not None:
+        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("held_parts")).cast("int")
+        asked = rows.select("bucket", part.alias("asks_part"), part.alias("held_part"), F.lit(0).alias("asks"), *carried)
+        order = ["bucket", "asks_part", "held_part"]
+        return asked.unionByName(asked.filter("stray").withColumn("asks", F.lit(1))).repartition(*order).sortWithinPartitions(*order)
     mine = F.xxhash64("node")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     asking = rows.filter("stray").select(
@@ -292,10 +310,11 @@ def roots(rows: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
 
     First the links of fingerprints are checked: each node with the smallest of its group of linked fingerprints, then, where that does not connect the whole
     group, every link between what is still apart. For what fingerprints can't link, sets meet in buckets of equal bands, 24 for each; of buckets with the same members one is kept. Each member is checked against its bucket's smallest, unless they are connected.
-    Where that leaves several groups in a bucket, the members outside the largest one are checked against
-    the NEAREST members of other groups by their signatures, again while that finds links, and then, in blocks that bring their shingles along, against all
-    with enough equal min-hashes. So every pair that is not connected otherwise is checked or too far off by its signature, while a group of n near copies takes
-    about n checks. Each round is written; components are computed of the groups that meet, not anew.
+    Where that leaves several groups in a bucket, each member outside the largest one is checked against
+    the nearest member of other groups by its signature, if that pair is LIKELY to hold, again while enough of these do, and then, in blocks that bring their shingles
+    along, against all with enough equal min-hashes. So every pair that is not connected otherwise is checked or too far off by its signature, while pairs
+    are written once for a node, a link of fingerprints, a member of a bucket and a member that asks in a round, and never for all of a group.
+    Each round is written; components are computed of the groups that meet, not anew.
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -323,18 +342,22 @@ def roots(rows: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     before, known = known, _joined(known, checked.filter("holds").select("a", "b"))
     discard(before)
     wrong = wrong.unionByName(checked.filter("NOT holds").select("a", "b"))
-    found = True
+    found, turn = True, 0
     while found:
-        proposed = stored(_crossing(members, known, signs, CHUNK).mapInArrow(_proposer(NEAREST), "bucket long, a long, b long"), "similar-proposed")
-        new = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(wrong, ["a", "b"], "left_anti")
-        checked = _checked(new, sets, least)
+        meeting, turn = _crossing(members, known, signs, CHUNK, turn), turn + 1
+        proposed = stored(meeting.mapInArrow(_proposer(NEAREST, LIKELY), "bucket long, a long, b long, equal int"), "similar-proposed")
+        asked = proposed.filter("a IS NOT NULL").select(F.col("a").alias("asks"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "equal")
+        best = asked.join(wrong, ["a", "b"], "left_anti").groupBy("asks").agg(F.max(F.struct("equal", "a", "b")).alias("best"))
+        checked = _checked(best.select("best.a", "best.b").distinct(), sets, least)
         good = checked.filter("holds").select("a", "b")
-        found = not good.isEmpty()
-        if found:
+        held = good.count()
+        found = held * WORTH > checked.count()
+        if held:
             before, known = known, _joined(known, good)
             discard(before)
-        # Buckets that proposed nothing have no pair left that could hold.
-        before, members = members, stored(members.join(proposed.select("bucket").distinct(), "bucket", "left_semi"), "similar-members")
+        # A bucket of one part that gave no row has no pair left that could hold.
+        open_ones = proposed.select("bucket").unionByName(members.groupBy("bucket").count().filter(F.col("count") > CHUNK).select("bucket"))
+        before, members = members, stored(members.join(open_ones.distinct(), "bucket", "left_semi"), "similar-members")
         wrong = stored(wrong.unionByName(checked.filter("NOT holds").select("a", "b")), "similar-wrong")
         for frame in (before, proposed, checked):
             discard(frame)

@@ -168,3 +168,50 @@ def test_sets_and_texts_come_to_workers_in_small_batches(spark, monkeypatch):
     assert sorted(row.doc_id for row in similar.keep_one_similar(frame).collect()) == [1, 3]
     assert {"shingled", "similar-sets"} <= {purpose for purpose, _ in seen} and {size for _, size in seen} == {str(BATCH_BYTES)}
     assert spark.conf.get(key, None) == before
+
+
+def starred(count, words=149, seed=5):
+    """Texts that differ from one text in 1 to 9 words, so many pairs of them are just not similar enough."""
+    chance = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = chance.choices(vocabulary, k=words)
+    out = []
+    for _ in range(count):
+        text = list(base)
+        for at in chance.sample(range(words), chance.randrange(1, 10)):
+            text[at] = chance.choice(vocabulary)
+        out.append(" ".join(text))
+    return out
+
+
+def test_rounds_write_no_more_pairs_than_texts_ask(spark, monkeypatch):
+    seen, write = [], similar.stored
+
+    def counted(frame, purpose):
+        out = write(frame, purpose)
+        seen.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "stored", counted)
+    texts = starred(150)
+    root = plain_groups(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(row.doc_id for row in similar.keep_one_similar(frame).collect()) == sorted(set(root))
+    # After ties, links of fingerprints and smallest members come the rounds.
+    pairs = [rows for purpose, rows in seen if purpose == "similar-pairs"][3:]
+    assert pairs and pairs[0] > 0 and max(pairs) <= len(texts)
+    assert [purpose for purpose, _ in seen].count("similar-asked") == 3 + len(pairs)
+
+
+def test_parts_of_a_round_copy_no_row_more_than_once(spark):
+    rows = [(1, node) for node in range(90)]
+    members = spark.createDataFrame(rows, "bucket long, node long")
+    known = spark.createDataFrame([(node, node % 30) for _, node in rows], "node long, root long")
+    signs = spark.createDataFrame([(node, b"") for _, node in rows], "node long, signed binary")
+    turns = [similar._crossing(members, known, signs, 7, turn).collect() for turn in (0, 1)]
+    for got in turns:
+        assert sorted(row.node for row in got if not row.asks) == list(range(90))
+        assert sorted(row.node for row in got if row.asks) == sorted(row.node for row in got if not row.asks and row.stray)
+        assert all(row.asks_part == row.held_part for row in got) and len({row.held_part for row in got}) > 5
+    placed = [{row.node: row.held_part for row in got} for got in turns]
+    assert placed[0] != placed[1]
