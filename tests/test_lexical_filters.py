@@ -113,3 +113,37 @@ def test_the_product_rules_out_pairs_below_the_bar_and_no_others(monkeypatch):
     ruled = run()
     assert all(score == plain[key] for key, score in ruled.items())
     assert {key for key, score in plain.items() if score >= 13.0} <= ruled.keys() and len(ruled) < 0.6 * len(plain)
+
+
+def test_blocks_are_cut_where_chunks_are_read_and_hold_every_posting_once(spark, tmp_path, monkeypatch):
+    from corpusmill.sources import term_segments
+
+    rows, _ = corpus(2, 120)
+    chunks = spark.createDataFrame(rows, CHUNKS).repartition(2)
+    monkeypatch.setattr(term_segments, "BLOCK_POSTINGS", 3)
+    monkeypatch.setattr(term_segments, "POSTINGS_SORTED", 50)
+    monkeypatch.setattr(term_segments, "POSTINGS_OUT", 7)
+    monkeypatch.setattr(type(chunks), "repartitionByRange", None)  # no posting is shuffled
+    monkeypatch.setattr(term_segments, "_write_blocks", None)
+    segment = term_segments.write_segment(chunks, str(tmp_path), 1, 3)
+    blocks = term_segments.read_blocks(spark, str(tmp_path), [segment]).collect()
+    held = sorted((b.term, p.chunk_id, p.task, p.article_number, p.clause_number, p.tf, p.dl) for b in blocks for p in b.postings)
+    want = sorted((w, c, t, a, n, text.split().count(w), len(text.split())) for c, t, a, n, text in rows if text for w in set(text.split()))
+    assert sorted(map(str, held)) == sorted(map(str, want))
+    assert all(b.n == len(b.postings) <= 3 and b.most_tf == max(p.tf for p in b.postings) and b.least_dl == min(p.dl for p in b.postings) for b in blocks)
+    assert len({b.block for b in blocks}) == len(blocks)
+    counts = spark.read.parquet(f"{tmp_path}/terms/stored_in=1/counts")
+    assert {tuple(r) for r in counts.select("term", "df", "n_tokens").collect()} == {tuple(r) for r in term_statistics(chunks).collect()}
+
+
+def test_postings_are_dealt_with_numbers_for_words(spark):
+    posted = spark.createDataFrame([(f"c{at}", "t", None, None, 3, word, 1 + at) for at in range(5) for word in ("a", "b", "other")],
+                                   "chunk_id string, task string, article_number string, clause_number array<bigint>, dl int, term string, tf int")
+    terms = pd.DataFrame([("q", "t", "a", 1.0, None, None), ("q", "t", "b", 2.0, None, None), ("p", "t", "b", 1.0, None, None)],
+                         columns=["query_id", "task", "term", "weight", "article_number", "clause_number"])
+    found = lexical_blocks.score_postings(posted, terms, lambda tf, dl: tf, 2)
+    shuffles = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(chunk_id" in line]
+    assert shuffles and "term" not in found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    # Words of no query are left out; each task hands on its best.
+    best = found.withColumn("nth", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC)")).filter("nth <= 2")
+    assert sorted((r.query_id, r.chunk_id, r.score) for r in best.collect()) == [("p", "c3", 4.0), ("p", "c4", 5.0), ("q", "c3", 12.0), ("q", "c4", 15.0)]
